@@ -1,9 +1,9 @@
 """Long exact spans shared between records, by fixed-block anchors.
 
-Every text is cut into non-overlapping reference blocks of half the least span, so any span of the least length
-holds at least one whole block of the other text. The hashes of all blocks form the index; its membership filter
-has a size fixed by a parameter and goes to every task. Every rolling window of every text probes the filter, and
-a window position that hits is an anchor. Around anchors only, windows of the full least length are hashed and
+Every text is cut into non-overlapping reference blocks of a third of the least span, so any span of the least
+length holds at least two whole neighbouring blocks of the other text. The hashes of all blocks form the index; its
+membership filter has a size bounded by a parameter and goes to every task. Every rolling window of every text probes
+the filter; two hits one block apart are an anchor, so chance hits must coincide to cost anything. Around anchors only, windows of the full least length are hashed and
 grouped: a window found in two texts is shared, and overlapping shared windows join to maximal spans. Texts that
 are exact copies are one class with one representative; they never meet as pairs.
 """
@@ -86,17 +86,26 @@ def _grid(starts, lengths, block):
 
 def _filter_bits(blocks: int, most: int) -> int:
     bits = 1 << 16
-    while bits < 16 * blocks and bits < most:
+    while bits < 12 * blocks and bits < most:
         bits *= 2
     return bits
 
 
+_SHIFTS = (0, 17, 34)
+
+
+def _slots(h: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    return (h >> np.uint64(shift)) & np.uint64(bits - 1)
+
+
 def _probe(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    low = np.uint64(bits - 1)
-    hit = np.ones(len(h), bool)
-    for shift in (0, 32):
-        x = (h >> np.uint64(shift)) & low
-        hit &= (bitmap[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    """Which hashes the filter holds; later slots are read only where the earlier ones are set."""
+    at = np.arange(len(h))
+    for shift in _SHIFTS:
+        x = _slots(h[at], shift, bits)
+        at = at[(bitmap[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    hit = np.zeros(len(h), bool)
+    hit[at] = True
     return hit
 
 
@@ -107,8 +116,8 @@ def _bitmap_parts(bits: int, word_bits: int = 1 << 15):
         bitmap = np.zeros(bits // 8, np.uint8)
         for pdf in batches:
             h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-            for shift in (0, 32):
-                x = np.unique((h >> np.uint64(shift)) & np.uint64(bits - 1))
+            for shift in _SHIFTS:
+                x = _slots(h, shift, bits)
                 np.bitwise_or.at(bitmap, x >> np.uint64(3), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
         for s in range(0, bits // 8, word_bits // 8):
             w = bitmap[s : s + word_bits // 8]
@@ -139,23 +148,24 @@ def _membership(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, most_filter_bits: int = 1 << 27) -> DataFrame:
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, most_filter_bits: int = 1 << 28) -> DataFrame:
     """``(id, span_start, span_end)``: each longest unbroken range of characters that lie in a run of ``least``
     characters which also occurs in another record's text. Offsets are 0-based code points, ends exclusive.
 
     Null, empty and short texts have no span; a text that another record repeats exactly is one span over its
     whole length; a passage repeated only inside its own text is not shared. Ids must be unique; other columns
-    are ignored, an empty table gives no rows. ``most_filter_bits`` bounds what is broadcast (16 MB by default):
-    beyond some 10 million blocks the filter passes more windows on to the exact grouping, it never loses one.
+    are ignored, an empty table gives no rows. ``most_filter_bits`` bounds what is broadcast (32 MB by default):
+    beyond some 30 million blocks the filter passes more windows on to the exact grouping, it never loses one.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "spans")
-    block = least // 2
+    block = (least + 1) // 3
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= least)
-    keyed = d.withColumn("key", F.sha2("text", 256))
-    # the narrow side alone is grouped; texts travel once, to one place a class
+    keyed = d.withColumn("key", F.unhex(F.sha2("text", 256)))
+    # only keys are grouped; texts stay where they are read
     classes = ws.cut(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.collect_list("id").alias("ids"), F.any_value(F.length("text")).alias("n")).drop("key"), "classes")
-    reps = d.join(classes.where("copies > 1").select(F.explode("ids").alias("id"), "rep"), "id", "left").where("rep is null or rep = id").select("id", "text")
+    copies = classes.where("copies > 1").select(F.explode("ids").alias("id"), "rep").where("id <> rep").select("id")
+    reps = d.join(copies, "id", "left_anti")
     blocks = int(fold(classes, b=F.sum(F.floor(F.col("n") / block)))["b"] or 0)
     bits = _filter_bits(blocks, most_filter_bits)
 
@@ -180,12 +190,12 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hit = _probe(everywhere.value, h, bits)
                 own, _ = _grid(starts, lengths, block)
                 hit[own] = _probe(repeated.value, h[own], bits)
-                at = np.flatnonzero(hit)
+                at = np.flatnonzero(hit[:-block] & hit[block:]) if len(hit) > block else np.zeros(0, int)
                 if not len(at):
                     continue
-                # starts of full windows that hold an anchor: up to least - block before it
+                # starts of full windows that hold the anchor's two blocks
                 edge = np.zeros(len(codes) + 2, np.int32)
-                np.add.at(edge, np.maximum(at - (least - block), 0), 1)
+                np.add.at(edge, np.maximum(at - (least - 2 * block), 0), 1)
                 np.add.at(edge, at + 1, -1)
                 w = np.flatnonzero(np.cumsum(edge[: len(codes)]) > 0)
                 owner = np.searchsorted(starts, w, side="right") - 1
