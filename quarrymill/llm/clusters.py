@@ -152,7 +152,7 @@ def neighbour_graph(emb: DataFrame, model: str, k: int = 10, floor: float = 0.70
     """
     v = usable(emb, model)
     total = v.count()
-    x = sample(v)
+    x = sample(v, total)
     empty = v.sparkSession.createDataFrame([], _EDGE)
     if not len(x):
         return empty

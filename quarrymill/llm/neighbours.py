@@ -133,7 +133,7 @@ def most_similar(emb: DataFrame, model: str, k: int = 5, floor: float = 0.70, ma
     """
     v = usable(emb, model)
     total = v.count()
-    x = sample(v)
+    x = sample(v, total)
     if not len(x):
         return v.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cos"), F.lit(1).alias("rank")).limit(0)
     centroids = cells(x, total, per_cell)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import clusters, neighbours, spans
+from quarrymill.llm import clusters, formatting, languages, linkage, markup, neighbours, spans
 from quarrymill.runtime import table
 
 MODEL = "workvec-base-v2"
+FIELDS = ["job_title", "company_name", "description"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -42,3 +43,46 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return spans.shared_share(docs, spans.shared_spans(docs))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = formatting.copies(table(spark, sf_dir, "job_postings"), "posting_id", FIELDS, "description")
+    return got.select(got["leader"].alias("posting_id_a"), got["id"].alias("posting_id_b"))
+
+
+@query
+def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatting.collapsed(table(spark, sf_dir, "job_postings"), "posting_id", FIELDS, "description")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.Linker(spark).seen(table(spark, sf_dir, "job_postings"), "posting_id", "retrieval_id", "description")
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.residue(table(spark, sf_dir, "job_postings"), "posting_id", ["description", "job_title"])
+
+
+@query
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(table(spark, sf_dir, "job_postings"), ["posting_id", "retrieval_id"], ["job_title", "description"])
+
+
+def _language_model(postings: DataFrame) -> languages.CentroidModel:
+    return languages.train(postings, "posting_text", "language", "job_title")
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = table(spark, sf_dir, "job_postings").where("description is not null")
+    return languages.mislabelled(postings, "posting_id", "posting_text", "language", "job_title", _language_model(postings))
+
+
+@query
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = table(spark, sf_dir, "job_postings")
+    got = languages.languages(postings, "posting_id", "posting_text", "language", "job_title", _language_model(postings))
+    return got.selectExpr("posting_id", "label", "lang", "confidence", "array_join(langs, ';') as langs", "size(segments) as n_segments")

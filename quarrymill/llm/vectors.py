@@ -38,9 +38,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32)
 
 
-def sample(vectors: DataFrame, n: int = SAMPLE) -> np.ndarray:
-    """At most ``n`` unit vectors in the order of their hashed ids: the same whatever the partitioning."""
-    got = [r.v for r in vectors.select("v", F.xxhash64(F.lit(11), "id").alias("o")).orderBy("o").limit(n).collect()]
+def sample(vectors: DataFrame, total: int, n: int = SAMPLE) -> np.ndarray:
+    """At most ``n`` unit vectors in the order of their hashed ids: the same whatever the partitioning.
+
+    Only rows whose hash falls in the share that holds about twice ``n`` of ``total`` are ordered, so what reaches
+    the driver doesn't grow with the table.
+    """
+    share = min(1 << 30, int(2 * n * (1 << 30) / max(1, total)) + 1)
+    order = F.xxhash64(F.lit(11), "id")
+    got = [r.v for r in vectors.where(F.pmod(order, F.lit(1 << 30)) < share).select("v", order.alias("o")).repartition(1).orderBy("o").limit(n).collect()]
     return unit(np.array(got, np.float32)) if got else np.zeros((0, 1), np.float32)
 
 
