@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Characters hashed at once; a longer text is still hashed whole, alone.
 CHUNK_CHARS = 1 << 21
+#: Most ids (8 bytes each) that are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -164,8 +166,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = d.withColumn("key", F.unhex(F.sha2("text", 256)))
     # only keys are grouped; texts stay where they are read
     classes = ws.cut(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.collect_list("id").alias("ids"), F.any_value(F.length("text")).alias("n")).drop("key"), "classes")
-    copies = classes.where("copies > 1").select(F.explode("ids").alias("id"), "rep").where("id <> rep").select("id")
-    reps = d.join(copies, "id", "left_anti")
+    copies = ws.cut(classes.where("copies > 1").select(F.explode("ids").alias("id"), "rep").where("id <> rep").select("id"), "copies")
+    # the ids of copies go to the texts while they are few, so that no text moves; beyond that both sides shuffle
+    reps = d.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "id", "left_anti")
     blocks = int(fold(classes, b=F.sum(F.floor(F.col("n") / block)))["b"] or 0)
     bits = _filter_bits(blocks, most_filter_bits)
 
