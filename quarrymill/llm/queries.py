@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import clusters, formatting, languages, linkage, markup, neighbours, spans
+from quarrymill.llm import canonical, clusters, formatting, languages, linkage, markup, neighbours, spans
 from quarrymill.runtime import table
 
 MODEL = "workvec-base-v2"
@@ -86,3 +86,13 @@ def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = table(spark, sf_dir, "job_postings")
     got = languages.languages(postings, "posting_id", "posting_text", "language", "job_title", _language_model(postings))
     return got.selectExpr("posting_id", "label", "lang", "confidence", "array_join(langs, ';') as langs", "size(segments) as n_segments")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occupations = canonical.LabelMatcher(canonical.entries_of(table(spark, sf_dir, "esco_occupations"), "concept_uri", "preferred_label", "alt_labels"))
+    tasks = canonical.TaskMatcher(canonical.entries_of(table(spark, sf_dir, "onet_task_statements").selectExpr("cast(task_id as string) task_id", "task"), "task_id", "task"))
+    titles = table(spark, sf_dir, "job_postings").where("job_title is not null").selectExpr("posting_id", "coalesce(normalized_job_title, job_title) as title")
+    a = canonical.mapped(titles, "posting_id", "title", occupations, "job_title")
+    b = canonical.mapped(table(spark, sf_dir, "task_statements"), "task_statement_id", "atomic_task", tasks, "atomic_task")
+    return a.union(b)
