@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import canonical, clusters, formatting, languages, linkage, markup, neighbours, spans
+from quarrymill.llm import canonical, clusters, formatting, languages, linkage, markup, mixing, neighbours, packing, spans
 from quarrymill.runtime import table
 
 MODEL = "workvec-base-v2"
@@ -96,3 +96,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = canonical.mapped(titles, "posting_id", "title", occupations, "job_title")
     b = canonical.mapped(table(spark, sf_dir, "task_statements"), "task_statement_id", "atomic_task", tasks, "atomic_task")
     return a.union(b)
+
+
+@query
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = table(spark, sf_dir, "container_specs")
+    return packing.fill_report(packing.pack(table(spark, sf_dir, "documents"), specs), specs)
+
+
+@query
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
