@@ -1,9 +1,10 @@
 """New batches against all history: incremental record linkage over persisted blocking keys.
 
 History is three tables: the first batch of every id, the shingle set of every text class, and its blocking keys.
-Blocking is exact: texts of a Jaccard similarity of ``threshold`` or more share at least one of their first
-``n - ceil(threshold n) + 1`` shingles in any common order, here the order of rising frequency, so almost all keys
-are rare. A batch probes the key table; scores are exact set similarities.
+Blocking keys are bands of minimum hashes, ROWS to a band: unrelated texts of one domain, which share a tenth of their
+shingles, meet in one of a hundred thousand pairs, while a pair of similarity 0.6 escapes all BANDS bands with
+probability 0.002 and one of 0.7 with less than a millionth. A batch probes the key table; scores are exact set
+similarities.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.operators.components import connected_components
-from quarrymill.runtime import Workspace, fold
+from quarrymill.runtime import Workspace
 
 _WORDS = re.compile(r"[^\W_]+")
-#: Counters of the frequency sketch that orders shingles; a fixed size, whatever the corpus.
-SKETCH = 1 << 18
+BANDS, ROWS = 128, 6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,42 +74,29 @@ class Linker:
         d = df.select(F.col(id_col).alias("id"), F.col(batch_col).alias("batch"), F.col(text_col).alias("text")).where("batch is not null and text is not null")
         return self.ws.cut(d.mapInPandas(_sets(self.k), "id string, batch string, cls long, n int, shingles array<int>"), "records")
 
-    def frequencies(self, records: DataFrame) -> np.ndarray:
-        """Counts of all shingles in SKETCH counters: a bounded statistic of the whole corpus."""
+    def keys(self, classes: DataFrame) -> DataFrame:
+        """``(key, cls, first)``: the blocking keys of each class."""
 
         def run(batches):
-            acc = np.zeros(SKETCH, np.int64)
+            rng = np.random.default_rng(29)
+            mul = (rng.integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+            add = rng.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint32)
+            band = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
             for pdf in batches:
-                if len(pdf):
-                    acc += np.bincount(np.concatenate(pdf["shingles"].to_numpy()).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
-            at = np.flatnonzero(acc)
-            yield pd.DataFrame({"slot": (at // 4096).astype(np.int32), "at": at.astype(np.int32), "n": acc[at]})
-
-        out = np.zeros(SKETCH, np.int64)
-        for r in records.select("shingles").mapInPandas(run, "slot int, at int, n long").groupBy("at").agg(F.sum("n").alias("n")).groupBy((F.col("at") / 4096).cast("int").alias("slot")).agg(F.collect_list(F.struct("at", "n")).alias("c")).toLocalIterator():
-            for c in r.c:
-                out[c["at"]] = c["n"]
-        return out
-
-    def keys(self, classes: DataFrame, order: np.ndarray) -> DataFrame:
-        """``(key, cls, first)``: the blocking keys of each class, its rarest shingles."""
-        b, t = self.spark.sparkContext.broadcast(order), self.t
-
-        def run(batches):
-            for pdf in batches:
-                ks, cs, fs = [], [], []
-                for c, f, s in zip(pdf["cls"], pdf["first"], pdf["shingles"]):
-                    if not len(s):
-                        continue
-                    m = len(s) - int(np.ceil(t * len(s) - 1e-9)) + 1
-                    freq = b.value[s.astype(np.int64) & (SKETCH - 1)]
-                    ks.append(s[np.lexsort((s, freq))[:m]])
-                    cs.append(np.full(m, c))
-                    fs += [f] * m
-                if ks:
-                    yield pd.DataFrame({"key": np.concatenate(ks), "cls": np.concatenate(cs), "first": fs})
-
-        return classes.mapInPandas(run, "key int, cls long, first string")
+                pdf = pdf[pdf["n"] > 0]
+                out = np.empty((len(pdf), BANDS), np.uint64)
+                for i, s in enumerate(pdf["shingles"]):
+                    low = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+                    for c in range(0, len(s), 512):  # texts of any length, in bounded memory
+                        x = _mix(s[c : c + 512].view(np.uint32).astype(np.uint64)).astype(np.uint32)
+                        np.minimum(low, (x[:, None] * mul + add).min(0), out=low)
+                    h = band.copy()
+                    for r in range(ROWS):
+                        h = _mix(h + low[r::ROWS])
+                    out[i] = h
+                yield pd.DataFrame({"key": out.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), BANDS), "first": np.repeat(pdf["first"].to_numpy(), BANDS)})
+
+        return classes.select("cls", "first", "n", "shingles").mapInPandas(run, "key long, cls long, first int")
 
     def jaccard(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """``(a, b, jac)`` of pairs of classes, by exact set overlap."""
@@ -131,8 +117,9 @@ class Linker:
         the Jaccard distance leaves possible: |d(a, leader) - d(b, leader)| must not exceed 1 - threshold.
         """
         first = Window.partitionBy("key")
-        lead = keys.withColumn("leader", F.min(F.struct("first", "cls")).over(first)).withColumn("members", F.count("*").over(first)).where("members > 1")
-        lead = self.ws.cut(lead.select("key", "cls", "first", F.col("leader.cls").alias("leader"), F.col("leader.first").alias("lead_first")), "led")
+        # a class alone with its key drops out before anything is written
+        led = keys.withColumn("low", F.min(F.struct("first", "cls")).over(first)).withColumn("high", F.max(F.struct("first", "cls")).over(first)).where("low <> high")
+        lead = self.ws.cut(led.select("key", "cls", "first", F.col("low.cls").alias("leader"), F.col("low.first").alias("lead_first")), "led")
         pairs = lead.where("first > lead_first").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
         scored = self.ws.cut(self.jaccard(pairs, sets), "scored")
         good = scored.where(F.col("jac") >= self.t)
@@ -155,8 +142,12 @@ class Linker:
         by_id = ids.join(ids.groupBy("id").agg(F.min("batch").alias("first")), "id").where("batch > first").select("batch", "id")
         rec = self.records(df, id_col, batch_col, text_col)
         firsts = self.ws.cut(rec.where("n > 0").groupBy("cls").agg(F.min("batch").alias("first"), F.min(F.struct("batch", "id"))["id"].alias("id0")), "firsts")
-        one = rec.join(firsts, (rec["cls"] == firsts["cls"]) & (rec["batch"] == firsts["first"]) & (rec["id"].eqNullSafe(firsts["id0"]))).select(rec["cls"], "first", "shingles")
-        keys = self.keys(one, self.frequencies(rec))
+        # batches by their order: a list as long as the number of batches
+        order = firsts.select("first").distinct().withColumn("o", F.row_number().over(Window.orderBy("first")))
+        firsts = self.ws.cut(firsts.join(order, "first"), "ordered")
+        lead = firsts.select(F.col("cls").alias("c"), F.col("first").alias("f"), "id0", F.col("o").alias("first"))
+        one = rec.join(lead, (rec["cls"] == lead["c"]) & (rec["batch"] == lead["f"]) & rec["id"].eqNullSafe(lead["id0"])).select("cls", "first", "n", "shingles").dropDuplicates(["cls"])
+        keys = self.keys(self.ws.cut(one, "classes"))
         near = self.links(keys, rec.select("cls", "shingles"))
         early = near.select(F.col("a").alias("cls"), F.lit(True).alias("near")).distinct()
         rows = rec.where("n > 0 and id is not null").select("id", "batch", "cls").distinct()
