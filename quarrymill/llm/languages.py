@@ -154,7 +154,7 @@ def train(df: DataFrame, text_col: str, label_col: str, title_col: str | None, p
     texts, langs = [], []
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     for lang in LANGS:
-        got = df.where((F.col(label_col) == lang) & (F.length(text_col) > 100)).select(F.substring(text_col, 1, 4000).alias("t"), title.alias("h")).orderBy(F.xxhash64("t"), "t").limit(per_language).collect()
+        got = df.where((F.col(label_col) == lang) & (F.length(text_col) > 100)).select(F.col(text_col).alias("t"), title.alias("h")).orderBy(F.xxhash64("t"), "t").limit(per_language).collect()
         for r in got:
             s = sentences(r.t, r.h)
             texts += s
