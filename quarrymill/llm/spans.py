@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.runtime import Workspace, fold
@@ -150,6 +150,19 @@ def _membership(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _packed(cols: list[np.ndarray], bucket: np.ndarray, names: tuple) -> pd.DataFrame:
+    """Columns split by bucket, each part one binary value: what travels is columns, which compress, not rows."""
+    o = np.argsort(bucket, kind="stable")
+    b = bucket[o]
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
+    parts = {n: [x.tobytes() for x in np.split(c[o], cut[1:])] if len(b) else [] for n, c in zip(names, cols)}
+    return pd.DataFrame({"bucket": b[cut], **parts})
+
+
+def _unpacked(col: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(col), kind)
+
+
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, most_filter_bits: int = 1 << 28) -> DataFrame:
     """``(id, span_start, span_end)``: each longest unbroken range of characters that lie in a run of ``least``
     characters which also occurs in another record's text. Offsets are 0-based code points, ends exclusive.
@@ -179,13 +192,16 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at, owner = _grid(starts, lengths, block)
                 yield pd.DataFrame({"h": roll.at(roll.prefix(codes), at, block).view(np.int64), "id": ids[owner]})
 
-    ref = ws.cut(reps.mapInPandas(index, "h long, id long"), "index")
+    ref = reps.mapInPandas(index, "h long, id long")
+    buckets = max(12, blocks // 40_000 + 1)
     everywhere = spark.sparkContext.broadcast(_membership(ref.select("h"), bits))
     twice = ref.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h")
     repeated = spark.sparkContext.broadcast(_membership(twice, bits))
 
     def probe(batches):
         roll = Roller()
+        held: list[tuple] = []
+        n = 0
         for pdf in batches:
             for ids, starts, lengths, codes in _chunks(pdf["id"], pdf["text"]):
                 prefix = roll.prefix(codes)
@@ -204,20 +220,42 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 owner = np.searchsorted(starts, w, side="right") - 1
                 inside = w + least <= starts[owner] + lengths[owner]
                 w, owner = w[inside], owner[inside]
-                if len(w):
-                    yield pd.DataFrame({"h": roll.at(prefix, w, least).view(np.int64), "id": ids[owner], "at": (w - starts[owner]).astype(np.int32)})
-
-    windows = reps.mapInPandas(probe, "h long, id long, at int")
-    same = Window.partitionBy("h")
-    hits = windows.withColumn("lo", F.min("id").over(same)).withColumn("hi", F.max("id").over(same)).where("lo <> hi").select("id", "at")
-    order = Window.partitionBy("id").orderBy("at")
-    runs = (
-        hits.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(order), F.lit(-least - 1)) > least).cast("int"))
-        .withColumn("run", F.sum("new").over(order))
-        .groupBy("id", "run")
-        .agg(F.min("at").alias("span_start"), (F.max("at") + least).cast("int").alias("span_end"))
-        .select("id", "span_start", "span_end")
-    )
+                held.append((roll.at(prefix, w, least), ids[owner], (w - starts[owner]).astype(np.int32)))
+                n += len(w)
+                if n > 1 << 20:
+                    yield _packed([np.concatenate(c) for c in zip(*held)], held_bucket(held), ("h", "id", "at"))
+                    held, n = [], 0
+        if n:
+            yield _packed([np.concatenate(c) for c in zip(*held)], held_bucket(held), ("h", "id", "at"))
+
+    def held_bucket(held):
+        return (np.concatenate([x[0] for x in held]) % np.uint64(buckets)).astype(np.int32)
+
+    def shared(pdf):
+        h, ids, at = _unpacked(pdf["h"], np.uint64), _unpacked(pdf["id"], np.int64), _unpacked(pdf["at"], np.int32)
+        o = np.argsort(h, kind="stable")
+        h, ids, at = h[o], ids[o], at[o]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        two = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        keep = np.repeat(two, np.diff(np.append(first, len(h))))
+        ids, at = ids[keep], at[keep]
+        o = np.lexsort((at, ids))
+        ids, at = ids[o], at[o]
+        return _packed([ids, at], (_mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), ("id", "at"))
+
+    def runs_of(pdf):
+        ids, at = _unpacked(pdf["id"], np.int64), _unpacked(pdf["at"], np.int32)
+        o = np.lexsort((at, ids))
+        ids, at = ids[o], at[o]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (at[1:] - at[:-1] > least)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(ids)) - 1
+        return pd.DataFrame({"id": ids[first], "span_start": at[first], "span_end": at[last] + least})
+
+    windows = reps.mapInPandas(probe, "bucket int, h binary, id binary, at binary")
+    hits = windows.groupBy("bucket").applyInPandas(shared, "bucket int, id binary, at binary")
+    runs = hits.groupBy("bucket").applyInPandas(runs_of, "id long, span_start int, span_end int")
     whole = classes.where("copies > 1").select(F.explode("ids").alias("id"), F.lit(0).alias("span_start"), F.col("n").cast("int").alias("span_end"))
     alone = runs.join(classes.where("copies > 1").select(F.col("rep").alias("id")), "id", "left_anti")
     return alone.union(whole).withColumnRenamed("id", id_col)
