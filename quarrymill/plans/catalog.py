@@ -1,6 +1,8 @@
-"""All core queries and their SQL, gathered from the plan modules."""
+"""All core queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quarrymill.plans import corpus, relational, statements, streams, topics  # noqa: F401
+from quarrymill.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
