@@ -382,7 +382,7 @@ def on_one_group(df: DataFrame, id_col: str, vec: str, kernel, schema: str, most
         x = np.stack(pdf["v"].to_numpy())
         return kernel(pdf[id_col].to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
 
-    return df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias("v")).groupBy(F.lit(0)).applyInPandas(run, schema)
+    return df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias("v")).groupBy().applyInPandas(run, schema)
 
 
 def prototypes(df: DataFrame, id_col: str, vec: str, k: int) -> tuple[DataFrame, DataFrame]:

@@ -161,15 +161,15 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     c = contingency(df, a, b)
     pairs = lambda n: n * (n - 1) / 2
     ra, rb = c.groupBy("a").agg(F.sum("n").alias("na")), c.groupBy("b").agg(F.sum("n").alias("nb"))
-    tot = c.agg(F.sum("n").alias("N"), F.sum(pairs(F.col("n"))).alias("ij"))
-    pa = ra.crossJoin(F.broadcast(tot.select("N"))).agg(F.sum(pairs(F.col("na"))).alias("pa"), F.count("*").alias("ka"), F.sum(-(F.col("na") / F.col("N")) * F.ln(F.col("na") / F.col("N"))).alias("ha"))
-    pb = rb.crossJoin(F.broadcast(tot.select("N"))).agg(F.sum(pairs(F.col("nb"))).alias("pb"), F.count("*").alias("kb"), F.sum(-(F.col("nb") / F.col("N")) * F.ln(F.col("nb") / F.col("N"))).alias("hb"))
-    cell = c.join(ra, "a").join(rb, "b").crossJoin(F.broadcast(tot.select("N")))
-    mi = cell.agg(F.sum(F.col("n") / F.col("N") * F.ln(F.col("n") * F.col("N") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("phi"))
+    tot = c.agg(F.sum("n").alias("total"), F.sum(pairs(F.col("n"))).alias("ij"))
+    pa = ra.crossJoin(F.broadcast(tot.select("total"))).agg(F.sum(pairs(F.col("na"))).alias("pa"), F.count("*").alias("ka"), F.sum(-(F.col("na") / F.col("total")) * F.ln(F.col("na") / F.col("total"))).alias("ha"))
+    pb = rb.crossJoin(F.broadcast(tot.select("total"))).agg(F.sum(pairs(F.col("nb"))).alias("pb"), F.count("*").alias("kb"), F.sum(-(F.col("nb") / F.col("total")) * F.ln(F.col("nb") / F.col("total"))).alias("hb"))
+    cell = c.join(ra, "a").join(rb, "b").crossJoin(F.broadcast(tot.select("total")))
+    mi = cell.agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("phi"))
     d = tot.crossJoin(pa).crossJoin(pb).crossJoin(mi)
-    expected = F.col("pa") * F.col("pb") / pairs(F.col("N"))
+    expected = F.col("pa") * F.col("pb") / pairs(F.col("total"))
     ari = (F.col("ij") - expected) / ((F.col("pa") + F.col("pb")) / 2 - expected)
-    return d.select(F.round(ari, 6).alias("ari"), F.round(F.col("mi") / ((F.col("ha") + F.col("hb")) / 2), 6).alias("nmi"), F.round(F.sqrt((F.col("phi") - 1) / (F.least("ka", "kb") - 1)), 6).alias("cramers_v"), F.col("N").alias("n"))
+    return d.select(F.round(ari, 6).alias("ari"), F.round(F.col("mi") / ((F.col("ha") + F.col("hb")) / 2), 6).alias("nmi"), F.round(F.sqrt((F.col("phi") - 1) / (F.least("ka", "kb") - 1)), 6).alias("cramers_v"), F.col("total").alias("n"))
 
 
 def best_overlap(df: DataFrame, a: str, b: str) -> DataFrame:

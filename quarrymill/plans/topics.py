@@ -76,7 +76,7 @@ def retrieval_recall_mrr(spark, sf):
     return f.agg(at(1), at(5), at(10), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"))
 
 
-_CENT = """WITH u AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE / sqrt(list_sum(list_transform(embedding, y -> y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+_CENT = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
 p AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u) GROUP BY 1, 2),
 c AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY 1),
 s AS (SELECT vec_id, u.label, c.label AS centroid_label, round(list_cosine_similarity(v, c), 6) AS sim FROM u, c)"""
@@ -98,12 +98,12 @@ def secondary_membership(spark, sf):
     return similarity.memberships(similarity.to_centroids(_emb(spark, sf), "vec_id", "embedding", "label")[1], "vec_id")
 
 
-_AB = "WITH d AS (SELECT source AS a, doc_type AS b FROM documents WHERE source IS NOT NULL AND doc_type IS NOT NULL), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM d GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), rb AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1), t AS (SELECT sum(n) AS N FROM c)"
+_AB = "WITH d AS (SELECT source AS a, doc_type AS b FROM documents WHERE source IS NOT NULL AND doc_type IS NOT NULL), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM d GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), rb AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1), t AS (SELECT sum(n) AS tot FROM c)"
 
 
-@query(_AB + """, z AS (SELECT (SELECT sum(n*(n-1)/2) FROM c) AS ij, (SELECT sum(na*(na-1)/2) FROM ra) AS pa, (SELECT sum(nb*(nb-1)/2) FROM rb) AS pb, N, (SELECT count(*) FROM ra) AS ka, (SELECT count(*) FROM rb) AS kb,
-(SELECT -sum(na/t.N*ln(na/t.N)) FROM ra, t) AS ha, (SELECT -sum(nb/t.N*ln(nb/t.N)) FROM rb, t) AS hb, (SELECT sum(n/t.N*ln(n*t.N/(na*nb))) FROM c JOIN ra USING (a) JOIN rb USING (b), t) AS mi, (SELECT sum(n*n/(na*nb)) FROM c JOIN ra USING (a) JOIN rb USING (b)) AS phi FROM t)
-SELECT round((ij - pa*pb/(N*(N-1)/2)) / ((pa+pb)/2 - pa*pb/(N*(N-1)/2)), 6) AS ari, round(mi/((ha+hb)/2), 6) AS nmi, round(sqrt((phi-1)/(least(ka,kb)-1)), 6) AS cramers_v, N::BIGINT AS n FROM z""")
+@query(_AB + """, z AS (SELECT (SELECT sum(n*(n-1)/2) FROM c) AS ij, (SELECT sum(na*(na-1)/2) FROM ra) AS pa, (SELECT sum(nb*(nb-1)/2) FROM rb) AS pb, tot, (SELECT count(*) FROM ra) AS ka, (SELECT count(*) FROM rb) AS kb,
+(SELECT -sum(na/t.tot*ln(na/t.tot)) FROM ra, t) AS ha, (SELECT -sum(nb/t.tot*ln(nb/t.tot)) FROM rb, t) AS hb, (SELECT sum(n/t.tot*ln(n*t.tot/(na*nb))) FROM c JOIN ra USING (a) JOIN rb USING (b), t) AS mi, (SELECT sum(n*n/(na*nb)) FROM c JOIN ra USING (a) JOIN rb USING (b)) AS phi FROM t)
+SELECT round((ij - pa*pb/(tot*(tot-1)/2)) / ((pa+pb)/2 - pa*pb/(tot*(tot-1)/2)), 6) AS ari, round(mi/((ha+hb)/2), 6) AS nmi, round(sqrt((phi-1)/(least(ka,kb)-1)), 6) AS cramers_v, tot::BIGINT AS n FROM z""")
 def labelling_agreement(spark, sf):
     return similarity.agreement(table(spark, sf, "documents"), "source", "doc_type")
 
@@ -117,7 +117,7 @@ _STOP_SQL = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
 @query(
-    rf"""WITH d AS (SELECT source AS g, list_filter(regexp_extract_all(lower(text), '[a-z][a-z\-]+'), w -> NOT list_contains({_STOP_SQL}, w)) AS ws FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+    rf"""WITH d AS (SELECT source AS g, list_filter(regexp_extract_all(lower(text), '[a-z][a-z\-]+'), lambda w: NOT list_contains({_STOP_SQL}, w)) AS ws FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
 c AS (SELECT g, term, count(*)::BIGINT AS n FROM (SELECT g, unnest(ws) AS term FROM d UNION ALL SELECT g, ws[i] || ' ' || ws[i+1] FROM (SELECT g, ws, unnest(range(1, len(ws))) AS i FROM d WHERE len(ws) > 1)) GROUP BY 1, 2),
 s AS (SELECT g, sum(n) AS words FROM c GROUP BY 1), f AS (SELECT term, sum(n) AS f FROM c GROUP BY 1), m AS (SELECT sum(words)::DOUBLE / count(*) AS A FROM s),
 x AS (SELECT g, term, round(n::DOUBLE / words * ln(1 + A / f), 9) AS score FROM c JOIN s USING (g) JOIN f USING (term), m)
@@ -186,8 +186,8 @@ def quantile_classes(spark, sf):
 
 @query(
     """WITH RECURSIVE m AS (SELECT task_statement_id AS node, min(source_statement_id) AS parent FROM task_statements WHERE source_statement_id IS NOT NULL AND source_statement_id <> task_statement_id GROUP BY 1),
-e AS (SELECT node FROM m UNION SELECT parent FROM m), c AS (SELECT node, node AS at, 0 AS d FROM e UNION ALL SELECT c.node, m.parent, d + 1 FROM c JOIN m ON m.node = c.at WHERE d < 50)
-SELECT node, arg_max(at, d) AS survivor FROM c GROUP BY node"""
+e AS (SELECT node FROM m UNION SELECT parent FROM m), c AS (SELECT node, node AS place, 0 AS d FROM e UNION ALL SELECT c.node, m.parent, d + 1 FROM c JOIN m ON m.node = c.place WHERE d < 50)
+SELECT node, arg_max(place, d) AS survivor FROM c GROUP BY node"""
 )
 def merge_chains(spark, sf):
     m = table(spark, sf, "task_statements").where("source_statement_id is not null and source_statement_id <> task_statement_id").select("task_statement_id", "source_statement_id")
@@ -252,7 +252,7 @@ def partition_metrics(spark, sf):
 
     if lab.count() > cluster.MOST_POINTS:
         raise ValueError("reduce by prototypes() first")
-    return lab.where("label is not null").groupBy(F.lit(0)).applyInPandas(run, "silhouette double, davies_bouldin double, calinski_harabasz double")
+    return lab.where("label is not null").groupBy().applyInPandas(run, "silhouette double, davies_bouldin double, calinski_harabasz double")
 
 
 @query()
@@ -267,7 +267,7 @@ def topic_hierarchy(spark, sf):
         top = cluster.linkage(x, n, 4, "average")
         return pd.DataFrame({"leaf": pdf["cluster"].astype("int32"), "size": pdf["n"], "level2": mid.astype("int32"), "level1": top.astype("int32")})
 
-    return cents.groupBy(F.lit(0)).applyInPandas(run, "leaf int, size long, level2 int, level1 int")
+    return cents.groupBy().applyInPandas(run, "leaf int, size long, level2 int, level1 int")
 
 
 @query()
@@ -282,7 +282,7 @@ def hungarian_match(spark, sf):
         m = pdf.pivot(index="a", columns="b", values="j").fillna(0.0)
         return pd.DataFrame([(int(m.index[i]), int(m.columns[k]), round(float(m.iloc[i, k]), 6)) for i, k in cluster.assignment(m.to_numpy())], columns=["cluster", "label", "jaccard"])
 
-    return j.groupBy(F.lit(0)).applyInPandas(run, "cluster int, label int, jaccard double")
+    return j.groupBy().applyInPandas(run, "cluster int, label int, jaccard double")
 
 
 @query()

@@ -42,6 +42,7 @@ def compare(spark, sf, name, f, sql, con=None):
     cur = (con or connect(sf)).execute(sql)
     want = rows([d[0] for d in cur.description], cur.fetchall())
     assert sorted(df.columns) == sorted(d[0] for d in cur.description), (name, df.columns, [d[0] for d in cur.description])
-    extra, missing = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+    have, need = set(got), set(want)
+    extra, missing = sorted(have - need, key=repr)[:3], sorted(need - have, key=repr)[:3]
     assert got == want, f"{name}: {len(got)} and {len(want)} rows; extra {extra}; missing {missing}"
     return len(got)
