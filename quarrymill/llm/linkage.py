@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.runtime import Workspace
+from quarrymill.operators.components import connected_components
+from quarrymill.runtime import Workspace, fold
 
 _WORDS = re.compile(r"[^\W_]+")
 BANDS, ROWS = 128, 6
@@ -153,3 +154,104 @@ class Linker:
         rows = rec.where("n > 0 and id is not null").select("id", "batch", "cls").distinct()
         by_text = rows.join(firsts, "cls").join(early, "cls", "left").where("batch > first or near").select("batch", rows["id"])
         return by_id.union(by_text).distinct().select(F.col("batch").alias(batch_col), F.col("id").alias(id_col))
+
+
+# -- persisted history ------------------------------------------------------------------------------------------------
+
+FIELDS = ("title", "company")
+
+
+def learn_weights(pairs: DataFrame, most: int = 20_000) -> dict[str, tuple[float, float]]:
+    """Log odds that a field agrees or differs, fitted on at most ``most`` labelled pairs in the order of their hashes.
+
+    ``pairs`` has a boolean ``same`` (known to be one record) and a boolean column for each field. Shares are smoothed
+    by one case.
+    """
+    d = pairs.orderBy(F.xxhash64("a", "b")).limit(most)
+    got = fold(d, **{f"{f}_{s}": F.count_if(F.col(f) & (F.col("same") == F.lit(s == "m"))) for f in FIELDS for s in "mu"}, m=F.count_if("same"), u=F.count_if(~F.col("same")))
+    out = {}
+    for f in FIELDS:
+        m, u = (got[f"{f}_m"] + 1) / (got["m"] + 2), (got[f"{f}_u"] + 1) / (got["u"] + 2)
+        out[f] = (float(np.log(m / u)), float(np.log((1 - m) / (1 - u))))
+    return out
+
+
+class History:
+    """Everything accepted so far, as tables in a folder: ids, classes with their sets and fields, blocking keys by
+    bucket, and the representative of each class. A batch reads the keys' buckets, never the texts of the past.
+
+    Clusters are a union-find over classes: a batch writes new (class, representative) rows, and one row for each old
+    representative that it merges into another; ``representatives`` follows them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, weights: dict[str, tuple[float, float]] | None = None, k: int = 3, threshold: float = 0.6):
+        self.spark, self.folder, self.linker = spark, folder.rstrip("/"), Linker(spark, k, threshold)
+        self.weights = weights or {f: (2.0, -1.0) for f in FIELDS}
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        return self.spark.createDataFrame([], schema)
+
+    def ids(self) -> DataFrame:
+        return self._read("ids", "id string, batch string")
+
+    def classes(self) -> DataFrame:
+        return self._read("classes", "cls long, n int, shingles array<int>, title long, company long")
+
+    def keys(self) -> DataFrame:
+        return self._read("keys", "key long, cls long, bucket int")
+
+    def mappings(self) -> DataFrame:
+        return self._read("reps", "node long, rep long")
+
+    def representatives(self) -> DataFrame:
+        """``(cls, rep)`` of every class: mappings of representatives are followed to their end."""
+        from quarrymill.operators.ledger import survivors
+
+        m = self.mappings()
+        got = survivors(m.where("node <> rep"), "node", "rep").select(F.col("node").alias("cls"), F.col("survivor").alias("rep"))
+        alone = m.select(F.col("node").alias("cls")).distinct().join(got.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("rep"))
+        return got.union(alone)
+
+    def ingest(self, batch: DataFrame, id_col: str, batch_col: str, text_col: str, title_col: str, company_col: str) -> DataFrame:
+        """Checks a batch against the history, then adds it: ``(batch, id, seen, score)``, one row an id.
+
+        ``seen`` says that an earlier batch has the id or a similar text; the score is the similarity of the best
+        earlier text plus the learned weights of the fields, null where there is none. Rows of one batch don't count
+        against each other, but join clusters with each other through the next batch only.
+        """
+        ln, ws = self.linker, self.linker.ws
+        ids = batch.select(F.col(id_col).cast("string").alias("id"), F.col(batch_col).cast("string").alias("batch")).where("id is not null and batch is not null").distinct()
+        by_id = ids.join(self.ids().select("id").distinct(), "id", "left_semi").select("id", F.lit(True).alias("known"))
+        rec = ln.records(batch, id_col, batch_col, text_col)
+        norm = lambda c: F.xxhash64(F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\W+", "")))
+        side = batch.select(F.col(id_col).cast("string").alias("id"), norm(title_col).alias("title"), norm(company_col).alias("company")).dropDuplicates(["id"])
+        one = ws.cut(rec.where("n > 0").groupBy("cls").agg(F.min_by("id", "id").alias("id"), F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles")).join(side, "id", "left").select("cls", "n", "shingles", "title", "company", F.lit(0).alias("first")), "batch")
+        old = self.classes()
+        fresh = ws.cut(ln.keys(one).select("key", "cls", F.pmod("key", F.lit(64)).cast("int").alias("bucket")), "batch-keys")
+        again = one.join(old.select("cls"), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+        met = fresh.toDF("key", "a", "bucket").join(self.keys().toDF("key", "b", "bucket"), ["bucket", "key"]).where("a <> b").select("a", "b").distinct()
+        sets = one.select("cls", "shingles").union(old.select("cls", "shingles"))
+        near = ln.jaccard(ws.cut(met, "met"), sets).where(F.col("jac") >= ln.t).union(again.withColumn("jac", F.lit(1.0)))
+        near = ws.cut(near, "near")
+        fa, fb = one.select(F.col("cls").alias("a"), F.col("title").alias("ta"), F.col("company").alias("ca")), old.select(F.col("cls").alias("b"), F.col("title").alias("tb"), F.col("company").alias("cb"))
+        w = lambda f, x, y: F.when(F.col(x) == F.col(y), self.weights[f][0]).otherwise(self.weights[f][1])
+        scored = near.join(fa, "a").join(fb, "b").withColumn("score", F.col("jac") + w("title", "ta", "tb") + w("company", "ca", "cb"))
+        best = scored.groupBy(F.col("a").alias("cls")).agg(F.round(F.max("score"), 6).alias("score"))
+        by_text = rec.where("n > 0 and id is not null").select("id", "cls").distinct().join(best, "cls").groupBy("id").agg(F.max("score").alias("score"))
+        out = ws.cut(ids.join(by_id, "id", "left").join(by_text, "id", "left").select("batch", "id", (F.col("known").isNotNull() | F.col("score").isNotNull()).alias("seen"), "score"), "out")
+        # union-find: only representatives that this batch touches are read and merged
+        reps = self.representatives()
+        touched = near.select(F.col("b").alias("cls")).distinct().join(reps, "cls")
+        links = near.join(touched.toDF("b", "rb"), "b").select("a", F.col("rb").alias("b")).distinct()
+        comp = connected_components(ws.cut(links, "links"), ws=ws) if not near.isEmpty() else self.spark.createDataFrame([], "node long, component long")
+        fresh_cls = one.join(old.select("cls"), "cls", "left_anti")
+        new_maps = comp.toDF("node", "rep").union(fresh_cls.select(F.col("cls").alias("node"), F.col("cls").alias("rep")).join(comp.select("node"), "node", "left_anti"))
+        # tables of this batch are written before any of them is added: a failed run leaves the history as it was
+        adds = {"classes": ws.cut(fresh_cls.drop("first"), "add-classes"), "keys": ws.cut(fresh.join(fresh_cls.select("cls"), "cls", "left_semi").select("key", "cls", "bucket"), "add-keys"), "reps": ws.cut(new_maps, "add-reps"), "ids": ids}
+        for name, df in adds.items():
+            writer = df.write.mode("append")
+            (writer.partitionBy("bucket") if name == "keys" else writer).parquet(f"{self.folder}/{name}")
+        return out.withColumnRenamed("batch", batch_col).withColumnRenamed("id", id_col)

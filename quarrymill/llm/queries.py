@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrymill.llm import canonical, clusters, formatting, languages, linkage, markup, mixing, neighbours, packing, spans
+from quarrymill.llm import boilerplate, canonical, clusters, formatting, languages, linkage, markup, mixing, neighbours, packing, spans
 from quarrymill.runtime import table
 
 MODEL = "workvec-base-v2"
@@ -118,3 +119,57 @@ def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
     return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
+@query
+def p6_unique_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "job_postings").where("description is not null").groupBy("posting_id").agg(F.min("company_name").alias("company_name"), F.min("description").alias("description"))
+    return boilerplate.unique_runs(d, "company_name", "posting_id", "description")
+
+
+def _sql(name: str, text: str) -> None:
+    ORACLE[name] = text
+
+
+_USABLE = f"WITH u AS (SELECT k, v::DOUBLE[] AS v FROM emb WHERE model = '{MODEL}' AND len(v) = dims AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0)))"
+
+_sql(
+    "p3_found",
+    _USABLE
+    + """, s AS (SELECT a.k AS a, b.k AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.k <> b.k WHERE list_cosine_similarity(a.v, b.v) >= 0.70),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM s) SELECT DISTINCT least(a, b) AS k_a, greatest(a, b) AS k_b FROM r WHERE r <= 5""",
+)
+
+_sql(
+    "p1_found",
+    _USABLE.replace("WITH", "WITH RECURSIVE")
+    + """, e AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.k <> b.k WHERE list_cosine_similarity(a.v, b.v) >= 0.70),
+c AS (SELECT a AS k, a AS r FROM e UNION SELECT c.k, e.b FROM c JOIN e ON e.a = c.r) SELECT k, min(r) AS cluster_key FROM c GROUP BY k""",
+)
+
+_sql(
+    "p10_found",
+    """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200), w AS (SELECT doc_id, i, hash(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), p AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM s)),
+g AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS n FROM p))
+SELECT doc_id, min(i)::INT AS span_start, (max(i) + 200)::INT AS span_end FROM g GROUP BY doc_id, run""",
+)
+
+_KEY = "list_aggregate(list_sort([regexp_replace(lower(nfc_normalize(coalesce(job_title,''))), '[^\\p{L}\\p{N}]+', '', 'g'), regexp_replace(lower(nfc_normalize(coalesce(company_name,''))), '[^\\p{L}\\p{N}]+', '', 'g'), regexp_replace(lower(nfc_normalize(coalesce(description,''))), '[^\\p{L}\\p{N}]+', '', 'g')]), 'string_agg', '|')"
+
+_sql(
+    "p4_found",
+    f"""WITH RECURSIVE k AS (SELECT DISTINCT posting_id, {_KEY} AS key FROM job_postings WHERE description IS NOT NULL), e AS (SELECT DISTINCT x.posting_id AS a, y.posting_id AS b FROM k x JOIN k y ON x.key = y.key AND x.posting_id <> y.posting_id),
+c AS (SELECT a AS k, a AS r FROM e UNION SELECT c.k, e.b FROM c JOIN e ON e.a = c.r), m AS (SELECT k, min(r) AS lead FROM c GROUP BY k) SELECT lead AS posting_id_a, k AS posting_id_b FROM m WHERE k <> lead""",
+)
+
+_sql(
+    "p5_found",
+    """WITH t AS (SELECT posting_id, retrieval_id, description, regexp_extract_all(lower(nfc_normalize(description)), '[\\p{L}\\p{N}]+') AS w FROM job_postings),
+x AS (SELECT DISTINCT description, w FROM t WHERE len(w) >= 3), i AS (SELECT row_number() OVER () AS id, description, w FROM x),
+sh AS (SELECT DISTINCT id, w[j] || ' ' || w[j+1] || ' ' || w[j+2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS j FROM i)), n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM sh a JOIN sh b USING (s) GROUP BY 1, 2), near AS (SELECT a, b FROM o JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE o >= 0.6 * (na.n + nb.n - o) - 1e-9),
+f AS (SELECT i.id, min(t.retrieval_id) AS first FROM t JOIN i ON t.description = i.description GROUP BY 1), e AS (SELECT a, min(first) AS first FROM near JOIN f ON f.id = b GROUP BY a),
+p AS (SELECT posting_id, min(retrieval_id) AS first FROM t GROUP BY 1)
+SELECT DISTINCT t.retrieval_id, t.posting_id FROM t LEFT JOIN i ON t.description = i.description LEFT JOIN e ON e.a = i.id JOIN p ON p.posting_id = t.posting_id WHERE t.retrieval_id > p.first OR t.retrieval_id > e.first""",
+)
