@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.vectors import l2
+from quarrymill.runtime import Workspace
 
 #: Most points a kernel takes; larger tables are first reduced to weighted prototypes.
 MOST_POINTS = 4000
@@ -21,9 +22,15 @@ def kmeans(df: DataFrame, id_col: str, vec: str, k: int, seeds: tuple[int, ...]
 
     Confidence is one less the ratio of the distances to the nearest and second nearest centre. Null vectors drop out.
     """
+    ws = Workspace(df.sparkSession, "kmeans")
     x = df.where(F.col(vec).isNotNull()).select(id_col, array_to_vector(l2(F.col(vec))).alias("f"))
-    fits = [KMeans(featuresCol="f", k=k, seed=s, maxIter=30).fit(x) for s in seeds]
+    # written once and read by every round; a small table is few tasks
+    x = ws.cut(x, "features")
+    parts = max(1, min(x.rdd.getNumPartitions(), -(-x.count() // 20_000)))
+    x = x.coalesce(parts).cache()
+    fits = [KMeans(featuresCol="f", k=k, seed=s, maxIter=20).fit(x) for s in seeds]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    x.unpersist()
     centres = np.array(best.clusterCenters())
     b = df.sparkSession.sparkContext.broadcast(centres)
 

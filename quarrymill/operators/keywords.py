@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_WORD = re.compile(r"[a-z][a-z\-]+")
+
+
 def ctfidf(df: DataFrame, group: str, text: str, n: int, stopwords: list[str], bigrams: bool = True) -> DataFrame:
     """The ``n`` terms of each group of the highest tf x ln(1 + A / f): tf is a term's share of the group's terms, A the
     mean number of terms a group and f the term's number over all groups. Ties by the term.
@@ -13,12 +20,23 @@ def ctfidf(df: DataFrame, group: str, text: str, n: int, stopwords: list[str], b
     Terms are words of ASCII letters and pairs of neighbours among words that are no stopwords. Counts are partial
     before each shuffle; rows with a null group or text drop out.
     """
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z\-]+)"), 1), lambda w: ~F.array_contains(stop, w))
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.when(F.size("ws") > 1, F.concat_ws(" ", F.element_at("ws", i), F.element_at("ws", i + 1)))), lambda p: p.isNotNull())
-    d = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("g"), words.alias("ws")).where(F.size("ws") > 0)
-    terms = F.concat("ws", F.when(F.size("ws") > 1, pairs).otherwise(F.array().cast("array<string>"))) if bigrams else F.col("ws")
-    c = d.select("g", F.explode(terms).alias("term")).groupBy("g", "term").agg(F.count("*").alias("n"))
+    stop = frozenset(stopwords)
+    kind = df.schema[group].dataType.simpleString()
+
+    def count(batches):
+        # terms are counted within each batch before anything travels
+        for pdf in batches:
+            acc: dict = defaultdict(Counter)
+            for g, t in zip(pdf["g"], pdf["t"]):
+                ws = [w for w in _WORD.findall(t.lower()) if w not in stop]
+                acc[g].update(ws)
+                if bigrams:
+                    acc[g].update(f"{a} {b}" for a, b in zip(ws, ws[1:]))
+            rows = [(g, term, n) for g, c in acc.items() for term, n in c.items()]
+            yield pd.DataFrame(rows, columns=["g", "term", "n"])
+
+    d = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(text).alias("t"))
+    c = d.mapInPandas(count, f"g {kind}, term string, n long").groupBy("g", "term").agg(F.sum("n").alias("n"))
     size = c.groupBy("g").agg(F.sum("n").alias("words"))
     freq = c.groupBy("term").agg(F.sum("n").alias("f"))
     mean = size.agg((F.sum("words") / F.count("*")).alias("A"))
