@@ -47,7 +47,7 @@ LATEX = re.compile(
     r"|\\(?:%s)(?![A-Za-z])"
     r"|\{\\[A-Za-z]+[ }]"
     r"|\\\[.+?\\\]|\\\(.+?\\\)|(?m:\\\\ *$)"
-    r"|\$\$[^$]+\$\$|\$(?=[^$\n]*(?:\\[A-Za-z]|[A-Za-z0-9}][_^][A-Za-z0-9{]))[^$\n]+\$" % "|".join(_COMMANDS.split()),
+    r"|\$\$[^$]+\$\$|\$(?![\s\d])(?=[^$\n]*(?:\\[A-Za-z]|[A-Za-z0-9}][_^][A-Za-z0-9{]))[^$\n]+(?<!\s)\$" % "|".join(_COMMANDS.split()),
     re.S,
 )
 #: A text without any of these characters holds no markup; the scan of the table tests it inside the JVM.
