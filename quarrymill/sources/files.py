@@ -56,7 +56,8 @@ def read_links(spark: SparkSession, path: str, prefix: str = "broader") -> DataF
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSON-lines log, and its lines that hold no such row."""
-    d = spark.read.schema(schema + ", _corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    d = lines.select(F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     return d.where("_corrupt is null").drop("_corrupt"), d.where("_corrupt is not null").select("_corrupt")
 
 
@@ -119,7 +120,7 @@ def validate(spark: SparkSession, path: str, manifest: DataFrame | None = None)
         d = d.join(manifest.select("file", F.col("sha256").alias("expected")), "file", "left")
     else:
         d = d.withColumn("expected", F.lit(None).cast("string"))
-    status = F.when(F.col("length") == 0, "empty").when("is_html", "web page").when(F.col("expected").isNotNull() & (F.col("expected") != F.col("sha256")), "changed").otherwise("ok")
+    status = F.when(F.col("length") == 0, "empty").when(F.col("is_html"), "web page").when(F.col("expected").isNotNull() & (F.col("expected") != F.col("sha256")), "changed").otherwise("ok")
     return d.select("file", "length", "sha256", status.alias("status"))
 
 
