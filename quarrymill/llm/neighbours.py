@@ -122,7 +122,7 @@ def _best(a: np.ndarray, b: np.ndarray, cos: np.ndarray, ids: np.ndarray, k: int
     return a[top], b[top], cos[top]
 
 
-def most_similar(emb: DataFrame, model: str, k: int = 5, floor: float = 0.70, margin: float = 0.08, slack: float = 0.25, per_cell: int = 1400, block: int = 16384, books: int = 14) -> DataFrame:
+def most_similar(emb: DataFrame, model: str, k: int = 5, floor: float = 0.70, margin: float = 0.10, slack: float = 0.25, per_cell: int = 1400, block: int = 16384, books: int = 14) -> DataFrame:
     """``(id, other, cos, rank)``: for each usable vector its ``k`` most similar others with a cosine of ``floor`` or more.
 
     Vectors meet in coarse cells (see ``vectors.placed``). Within a task, members are encoded by beam search over
