@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.vectors import dot, l2, mean_vectors
 
-#: Most queries of one block; bounds the scores held at once (block x rows of a batch).
-BLOCK = 1024
+#: Queries and rows that meet in one task; bounds the scores held at once.
+BLOCK, CHUNK = 1024, 8192
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -21,52 +21,35 @@ def _matrix(col: pd.Series) -> np.ndarray:
 def top_k(queries: DataFrame, rows: DataFrame, q_id: str, r_id: str, vec: str, k: int, keep_self: bool = False) -> DataFrame:
     """``(q_id, r_id, sim, rank)``: the ``k`` most similar rows of each query, ties by row id.
 
-    Queries are dealt into blocks of BLOCK; a block meets every batch of the rows as one matrix product, keeps its
-    best ``k`` of the batch, and the winners of all batches are merged by one window. Null vectors take no part. The
-    work is queries x rows; for all rows against all use ``quarrymill.llm`` operators.
+    Queries are dealt by hash into blocks of about BLOCK and rows into chunks of about CHUNK; each block meets each
+    chunk in a task of its own as one matrix product, which keeps the block's best ``k``, and the winners of all
+    chunks are merged by one window. Null vectors take no part. The work is queries x rows, so it suits a stated set
+    of queries, not all rows against all.
     """
-    spark = queries.sparkSession
-    q = queries.where(F.col(vec).isNotNull()).select(F.col(q_id).alias("q"), F.col(vec).alias("v")).orderBy("q")
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(q_id).alias("q"), F.col(vec).alias("v"))
     r = rows.where(F.col(vec).isNotNull()).select(F.col(r_id).alias("r"), F.col(vec).alias("v"))
+    nb, nc = max(1, -(-q.count() // BLOCK)), max(1, -(-r.count() // CHUNK))
     kind_q, kind_r = q.schema["q"].dataType.simpleString(), r.schema["r"].dataType.simpleString()
-    out = None
-
-    def score(qs, qm):
-        b = spark.sparkContext.broadcast((qs, qm))
-
-        def run(batches):
-            ids, m = b.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                s = np.round(m @ _matrix(pdf["v"]).T, 9)
-                rid = pdf["r"].to_numpy()
-                if not keep_self:
-                    s[ids[:, None] == rid[None, :]] = -9
-                order = np.argsort(rid, kind="stable")
-                s, rid = s[:, order], rid[order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                qi = np.repeat(np.arange(len(ids)), best.shape[1])
-                sim = s[qi, best.ravel()]
-                good = sim > -9
-                yield pd.DataFrame({"q": ids[qi[good]], "r": rid[best.ravel()[good]], "sim": sim[good]})
-
-        return r.mapInPandas(run, f"q {kind_q}, r {kind_r}, sim double")
-
-    block: list = []
-    blocks = []
-    for row in q.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            blocks.append(block)
-            block = []
-    for part in [*blocks, block] if block or not blocks else blocks:
-        if not part:
-            continue
-        got = score(np.array([x["q"] for x in part]), _matrix(pd.Series([x["v"] for x in part])))
-        out = got if out is None else out.union(got)
-    if out is None:
-        out = spark.createDataFrame([], f"q {kind_q}, r {kind_r}, sim double")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("block", part("q", nb)).withColumn("chunk", every(nc))
+    right = r.withColumn("chunk", part("r", nc)).withColumn("block", every(nb))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": a["q"][:0], "r": b["r"][:0], "sim": np.zeros(0)})
+        b = b.sort_values("r", ignore_index=True)
+        ids, rid = a["q"].to_numpy(), b["r"].to_numpy()
+        s = np.round(_matrix(a["v"]) @ _matrix(b["v"]).T, 9)
+        if not keep_self:
+            s[ids[:, None] == rid[None, :]] = -9
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        qi = np.repeat(np.arange(len(ids)), best.shape[1])
+        sim = s[qi, best.ravel()]
+        good = sim > -9
+        return pd.DataFrame({"q": ids[qi[good]], "r": rid[best.ravel()[good]], "sim": sim[good]})
+
+    out = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(score, f"q {kind_q}, r {kind_r}, sim double")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "r")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(q_id), F.col("r").alias(r_id), F.round("sim", 6).alias("sim"), "rank")
 
