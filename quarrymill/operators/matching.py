@@ -10,6 +10,10 @@ from quarrymill.operators.components import connected_components
 from quarrymill.runtime import Workspace
 
 
+#: Candidates of one task of the greedy choice, in whole connected sets.
+SETS_OF_ROWS = 20_000
+
+
 def greedy_pairs(cands: DataFrame, group: list[str], left: str, right: str, order: list[str], ws: Workspace | None = None) -> DataFrame:
     """One-to-one pairs: candidates in ``order`` (all descending by value), each taken if both its ends are free.
 
@@ -32,7 +36,9 @@ def greedy_pairs(cands: DataFrame, group: list[str], left: str, right: str, orde
                 used_r.add(b)
         return pdf.loc[keep].drop(columns=["_l", "_r", "_c"])
 
-    return placed.groupBy("_c").applyInPandas(choose, cands.schema)
+    # sets never touch each other, so a bucket of whole sets gives the same pairs in one group instead of many
+    buckets = max(1, -(-c.count() // SETS_OF_ROWS))
+    return placed.groupBy(F.pmod(F.xxhash64("_c"), F.lit(buckets)).alias("_b")).applyInPandas(choose, cands.schema)
 
 
 def near_sets(df: DataFrame, group: str, id_col: str, tokens: Column, least: float, ws: Workspace | None = None) -> DataFrame:
