@@ -8,7 +8,7 @@ from quarrymill.functions import scores as S
 from quarrymill.functions import text as T
 from quarrymill.operators import matching, sampling
 from quarrymill.plans.registry import query
-from quarrymill.runtime import table
+from quarrymill.runtime import Workspace, table
 
 
 @query(
@@ -100,6 +100,8 @@ def _candidates(spark, sf):
     """Statements of two producers of one posting that share their normal text or half of their stems."""
     s = table(spark, sf, "task_statements").where("atomic_task is not null and posting_id is not null and provider is not null")
     d = s.groupBy("posting_id", "provider", T.normal_statement(F.col("atomic_task")).alias("text")).agg(F.min("task_statement_id").alias("id")).withColumn("st", F.array_distinct(T.stems(F.col("text")))).where(F.size("st") > 0)
+    # stems are worked out once, then read by both sides
+    d = Workspace(spark, "candidates").cut(d, "stems")
     first = d.groupBy("posting_id").agg(F.min("provider").alias("first"))
     d = d.join(first, "posting_id")
     key = d.withColumn("w", F.explode("st"))
