@@ -59,38 +59,54 @@ def document_frequencies(feats: DataFrame) -> np.ndarray:
 
 
 class Shard:
-    """BM25 inverted index over the documents of one shard."""
+    """BM25 index over the documents of one shard; a seed asks with all its terms.
 
-    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], length: np.ndarray, idf: np.ndarray, mean: float, query_terms: int = 12):
-        n = np.array([len(t) for t in terms])
+    Terms of few documents are posting lists; terms of more than one document in ``common`` are rows of a dense
+    matrix, whose part of the scores is one matrix product a block of seeds. Terms no other document of the shard
+    holds can retrieve nothing and are left out. Blocks are scored as they are asked for and kept.
+    """
+
+    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], length: np.ndarray, idf: np.ndarray, mean: float, common: int = 32, block: int = 256):
+        n = np.array([len(t) for t in terms], np.int64)
         doc, term, f = np.repeat(np.arange(len(terms)), n), np.concatenate(terms), np.concatenate(tf).astype(np.float32)
         w = (idf[term] * f * (K1 + 1) / (f + K1 * (1 - B + B * length[doc] / mean))).astype(np.float32)
         o = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[o].astype(np.int32), w[o]
-        self.terms, starts = np.unique(term[o], return_index=True)
-        self.bounds = np.append(starts, len(o))
-        # a seed asks with its most telling terms
-        self.query = [t[np.argsort(-idf[t], kind="stable")[:query_terms]] for t in terms]
-        self.size = len(terms)
-
-    def ranked(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with the seed, best first."""
-        at = np.searchsorted(self.terms, self.query[seed])
-        parts = [slice(self.bounds[i], self.bounds[i + 1]) for i in at]
-        if not parts:
-            return np.zeros(0, np.int64)
-        docs, w = np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts])
-        hit, back = np.unique(docs, return_inverse=True)
-        score = np.bincount(back, w)
-        return hit[np.lexsort((hit, -score))]
-
-
-def fill(sizes: np.ndarray, owner: np.ndarray, ranked, capacity: int) -> list[list[int]]:
+        doc, w = doc[o], w[o]
+        df = np.unique(term[o], return_counts=True)[1]
+        self.size, self.block = len(terms), block
+        many, few = (df > 1) & (df * common > len(terms)), (df > 1) & (df * common <= len(terms))
+        on = np.repeat(many, df)
+        self.dense = np.zeros((many.sum(), self.size), np.float32)
+        self.dense[np.repeat(np.arange(many.sum()), df[many]), doc[on]] = w[on]
+        # posting lists of the other shared terms, and for each document the lists its terms name
+        on = np.repeat(few, df)
+        self.doc, self.weight, self.count = doc[on], w[on], df[few]
+        self.start = np.cumsum(self.count) - self.count
+        lists = np.repeat(np.arange(len(self.count)), self.count)
+        o = np.argsort(self.doc, kind="stable")
+        self.named = lists[o]
+        self.bounds = np.searchsorted(self.doc[o], np.arange(self.size + 1))
+        self.kept: dict[int, np.ndarray] = {}
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document of the shard for all terms of the seed; 0 where they share none."""
+        k = seed // self.block
+        if k not in self.kept:
+            self.kept[k] = self._scored(k * self.block, min(self.size, (k + 1) * self.block))
+        return self.kept[k][seed - k * self.block]
+
+    def _scored(self, s: int, e: int) -> np.ndarray:
+        out = (self.dense[:, s:e] > 0).T.astype(np.float32) @ self.dense
+        lists = self.named[self.bounds[s] : self.bounds[e]]
+        who = np.repeat(np.arange(e - s), np.diff(self.bounds[s : e + 1]))
+        count = self.count[lists]
+        at = np.repeat(self.start[lists] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return out + np.bincount(np.repeat(who, count) * self.size + self.doc[at], self.weight[at], out.size).reshape(out.shape).astype(np.float32)
+
+
+def fill(sizes: np.ndarray, owner: np.ndarray, scores, capacity: int) -> list[list[int]]:
     """Containers of item numbers. Each is opened by the largest item left, takes the unused items of the documents
     nearest to the seed's while they fit, and is closed with the largest unused items that still fit."""
-    of = [[] for _ in range(int(owner.max()) + 1)] if len(owner) else []
-    for i, d in enumerate(owner):
-        of[d].append(i)
     by_size = sorted((int(s), i) for i, s in enumerate(sizes))
     used = np.zeros(len(sizes), bool)
     out = []
@@ -107,14 +123,17 @@ def fill(sizes: np.ndarray, owner: np.ndarray, ranked, capacity: int) -> list[li
         used[seed] = True
         box, room = [seed], capacity - int(sizes[seed])
         if room >= least:
-            for d in ranked(int(owner[seed])):
-                for i in of[d]:
-                    if not used[i] and sizes[i] <= room:
-                        used[i] = True
-                        box.append(i)
-                        room -= int(sizes[i])
+            # an item that does not fit now never will: room only shrinks
+            at = np.flatnonzero(~used & (sizes <= room))
+            score, size = scores(int(owner[seed]))[owner[at]], sizes[at]
+            while len(at) and score[j := int(score.argmax())] > 0:
+                used[at[j]] = True
+                box.append(int(at[j]))
+                room -= int(size[j])
+                score[j] = 0
                 if room < least:
                     break
+                score[size > room] = 0
         while room >= least and (i := largest(room)) is not None:
             used[i] = True
             box.append(i)
@@ -154,13 +173,6 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
         pdf = pdf.sort_values("id", ignore_index=True)
         length = pdf["n_tokens"].to_numpy(np.int64)
         index = Shard(list(pdf["terms"]), list(pdf["tf"]), length, idf_, mean)
-        memo: dict[int, np.ndarray] = {}
-
-        def ranked(d):
-            if d not in memo:
-                memo[d] = index.ranked(d)
-            return memo[d]
-
         ids, shard = pdf["id"].to_numpy(), int(pdf["shard"].iloc[0])
         for spec, cap in caps:
             whole, rest = length // cap, length % cap
@@ -168,7 +180,7 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
             part = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
             rows = [(spec, f"{spec}-{shard}-w{ids[d]}-{p}", 0, ids[d], int(p), int(p) * cap, cap) for d, p in zip(full, part)]
             owner = np.flatnonzero(rest)
-            for c, box in enumerate(fill(rest[owner], owner, ranked, cap)):
+            for c, box in enumerate(fill(rest[owner], owner, index.scores, cap)):
                 for at, i in enumerate(box):
                     d = owner[i]
                     rows.append((spec, f"{spec}-{shard}-{c}", at, ids[d], int(whole[d]), int(whole[d]) * cap, int(rest[d])))

@@ -303,3 +303,30 @@ def test_equals_sql(spark, name):
 def test_word_positions_survive_batches():
     pdf = pd.Series(["a b c d", ""])
     assert [linkage.shingle_set(linkage.words(t), 3, {}).size for t in pdf] == [2, 0]
+
+
+def test_packing_asks_with_all_terms(spark):
+    own = " ".join(f"own{i}" for i in range(30))
+    texts = {1: f"{own} alpha beta gamma delta", 2: "alpha beta gamma delta", 3: " ".join(f"far{i}" for i in range(4)) + " faraway", 4: "gamma delta"}
+    size = {k: len(encoder().encode_ordinary(t)) for k, t in texts.items()}
+    assert size[1] > size[3] > size[2]
+    specs = spark.createDataFrame([(1, size[1] + size[3])], "spec_id int, capacity_tokens int")
+    p = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), specs).toPandas()
+    # the thirty words of the seed alone find nobody; the words it shares do, before the best fit
+    box = p[p.container == p[p.doc_id == 1].container.iloc[0]].sort_values("position")
+    assert box.doc_id.tolist()[:2] == [1, 2] and 3 not in set(box.doc_id)
+
+
+def test_shard_scores_against_brute_force():
+    rng = np.random.default_rng(4)
+    terms = [np.unique(rng.zipf(1.3, 40) % 500) for _ in range(300)] + [np.zeros(0, np.int64)]
+    tf = [rng.integers(1, 5, len(t)) for t in terms]
+    length = np.array([max(1, int(f.sum())) for f in tf])
+    idf = rng.uniform(0.1, 5, 500).astype(np.float32)
+    s = packing.Shard(terms, tf, length, idf, float(length.mean()))
+    for i in (0, 17, 255, 256, 300):
+        for j in range(len(terms)):
+            m = np.isin(terms[j], terms[i])
+            f = tf[j][m]
+            want = (idf[terms[j][m]] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[j] / length.mean()))).sum()
+            assert i == j or abs(s.scores(i)[j] - want) < 1e-3
