@@ -221,3 +221,12 @@ def test_empty_tables(spark):
     assert matching.near_sets(e, "g", "id", F.split("t", " "), 0.5).count() == 0
     assert similarity.top_k(e.withColumnRenamed("id", "q"), e.withColumnRenamed("id", "r"), "q", "r", "v", 3).count() == 0
     assert ledger.survivors(spark.createDataFrame([], "c string, p string"), "c", "p").count() == 0
+
+
+def test_ordered_concatenation_keeps_the_hot_group(spark, tmp_path):
+    from quarrymill.plans.statements import ordered_concatenation
+
+    rows = [("hot", f"s{i:04d}", "alpha", True) for i in range(2100)] + [("cold", "b", "alpha", True), ("cold", "a", "beta", True), ("cold", "c", "beta", False)]
+    spark.createDataFrame(rows, "posting_id string, task_statement_id string, provider string, evidence_valid boolean").write.parquet(f"{tmp_path}/task_statements.parquet")
+    got = {r.posting_id: (r.ids, r.n, r.providers) for r in ordered_concatenation(spark, str(tmp_path)).collect()}
+    assert got == {"hot": (";".join(f"s{i:04d}" for i in range(2100)), 2100, 1), "cold": ("a;b", 2, 2)}
