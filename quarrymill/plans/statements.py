@@ -102,21 +102,22 @@ def _candidates(spark, sf):
     d = s.groupBy("posting_id", "provider", T.normal_statement(F.col("atomic_task")).alias("text")).agg(F.min("task_statement_id").alias("id")).withColumn("st", F.array_distinct(T.stems(F.col("text")))).where(F.size("st") > 0)
     # stems are worked out once, then read by both sides
     d = Workspace(spark, "candidates").cut(d, "stems")
-    first = d.groupBy("posting_id").agg(F.min("provider").alias("first"))
-    d = d.join(first, "posting_id")
     key = d.withColumn("w", F.explode("st"))
     freq = key.groupBy("w").agg(F.count("*").alias("f"))
     # the rarest half of a statement's stems: sets that share half of their union share one of these
-    ranked = key.join(freq, "w").groupBy("posting_id", "provider", "first", "id", "text", "st").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("o"))
+    ranked = key.join(freq, "w").groupBy("posting_id", "provider", "id", "text", "st").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("o"))
     pre = ranked.withColumn("w", F.explode(F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") * 0.5) + 1).cast("int"))))
-    a = pre.where("provider = first").select("posting_id", "w", F.col("id").alias("a"), F.col("st").alias("sa"), F.col("text").alias("ta"))
-    b = pre.where("provider <> first").select("posting_id", "w", F.col("id").alias("b"), F.col("st").alias("sb"), F.col("text").alias("tb"))
-    return a.join(b, ["posting_id", "w"]).dropDuplicates(["a", "b"]).withColumn("score", F.round(F.when(F.col("ta") == F.col("tb"), 1.0).otherwise(T.set_jaccard(F.col("sa"), F.col("sb"))), 4)).where("score >= 0.5").select("posting_id", "a", "b", "score")
+    a = pre.select("posting_id", "w", F.col("provider").alias("provider_a"), F.col("id").alias("a"), F.col("st").alias("sa"), F.col("text").alias("ta"))
+    b = pre.select("posting_id", "w", F.col("provider").alias("provider_b"), F.col("id").alias("b"), F.col("st").alias("sb"), F.col("text").alias("tb"))
+    group = ["posting_id", "provider_a", "provider_b"]
+    met = a.join(b, ["posting_id", "w"]).where("provider_a < provider_b").dropDuplicates([*group, "a", "b"])
+    return met.withColumn("score", F.round(F.when(F.col("ta") == F.col("tb"), 1.0).otherwise(T.set_jaccard(F.col("sa"), F.col("sb"))), 4)).where("score >= 0.5").select(*group, "a", "b", "score")
 
 
 @query()
 def greedy_one_to_one(spark, sf):
-    return matching.greedy_pairs(_candidates(spark, sf), ["posting_id"], "a", "b", ["score"])
+    """One-to-one pairs of each two producers of a posting, chosen for each pair of producers on its own."""
+    return matching.greedy_pairs(_candidates(spark, sf), ["posting_id", "provider_a", "provider_b"], "a", "b", ["score"])
 
 
 @query(

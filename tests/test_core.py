@@ -230,3 +230,12 @@ def test_ordered_concatenation_keeps_the_hot_group(spark, tmp_path):
     spark.createDataFrame(rows, "posting_id string, task_statement_id string, provider string, evidence_valid boolean").write.parquet(f"{tmp_path}/task_statements.parquet")
     got = {r.posting_id: (r.ids, r.n, r.providers) for r in ordered_concatenation(spark, str(tmp_path)).collect()}
     assert got == {"hot": (";".join(f"s{i:04d}" for i in range(2100)), 2100, 1), "cold": ("a;b", 2, 2)}
+
+
+def test_greedy_compares_each_pair_of_providers(spark, tmp_path):
+    from quarrymill.plans.statements import greedy_one_to_one
+
+    rows = [("p", "alpha", "a1", "repair broken engines"), ("p", "beta", "b1", "repair broken engines"), ("p", "gamma", "g1", "repair broken engines"), ("p", "beta", "b2", "write weekly reports"), ("p", "gamma", "g2", "write weekly reports"), ("q", "beta", "b3", "write weekly reports")]
+    spark.createDataFrame(rows, "posting_id string, provider string, task_statement_id string, atomic_task string").write.parquet(f"{tmp_path}/task_statements.parquet")
+    got = {(r.provider_a, r.provider_b, r.a, r.b, r.score) for r in greedy_one_to_one(spark, str(tmp_path)).collect()}
+    assert got == {("alpha", "beta", "a1", "b1", 1.0), ("alpha", "gamma", "a1", "g1", 1.0), ("beta", "gamma", "b1", "g1", 1.0), ("beta", "gamma", "b2", "g2", 1.0)}
