@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import scores as S
 from quarrymill.functions.text import STOPWORDS
 from quarrymill.operators import cluster, keywords, ledger, similarity
-from quarrymill.plans.registry import query
+from quarrymill.plans.registry import ORACLE, query
 from quarrymill.runtime import Workspace, table
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -55,6 +55,29 @@ def graph_edge_shares(spark, sf):
     return similarity.edge_shares(knn_edges(spark, sf), _emb(spark, sf), "vec_id", "label")
 
 
+# the same over the graph of all rows; the three above are held to their SQL, which asks for the rows of vec_id % 50 = 0
+_WHOLE = lambda sql: sql.replace("a.vec_id % 50 = 0 AND ", "")
+
+
+@query(_WHOLE(ORACLE["knn_edges"]))
+def whole_knn_edges(spark, sf):
+    """Ten neighbours of every row. Each block of rows meets each chunk in a bounded task; the work is rows x rows."""
+    e = _emb(spark, sf)
+    return similarity.edges_of(similarity.top_k(e.withColumnRenamed("vec_id", "q"), e.withColumnRenamed("vec_id", "r"), "q", "r", "embedding", 10), "q", "r")
+
+
+@query(_WHOLE(ORACLE["graph_modularity"]))
+def whole_graph_modularity(spark, sf):
+    edges = Workspace(spark, "whole-graph").cut(whole_knn_edges(spark, sf), "edges")
+    return similarity.modularity(edges, _emb(spark, sf), "vec_id", "label")
+
+
+@query(_WHOLE(ORACLE["graph_edge_shares"]))
+def whole_graph_edge_shares(spark, sf):
+    edges = Workspace(spark, "whole-graph").cut(whole_knn_edges(spark, sf), "edges")
+    return similarity.edge_shares(edges, _emb(spark, sf), "vec_id", "label")
+
+
 @query(TOP + ", v AS (SELECT q, label, sum(sim) AS s FROM k JOIN embeddings ON vec_id = r WHERE rank <= 10 GROUP BY 1, 2) SELECT q, label AS vote, round(s / t, 6) AS confidence FROM (SELECT *, sum(s) OVER (PARTITION BY q) AS t, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, label) AS r FROM v) WHERE r = 1")
 def neighbour_votes(spark, sf):
     return similarity.label_votes(_top(spark, sf, 10), _emb(spark, sf).select("vec_id", "label"), "q", "r", "label")

@@ -239,3 +239,13 @@ def test_greedy_compares_each_pair_of_providers(spark, tmp_path):
     spark.createDataFrame(rows, "posting_id string, provider string, task_statement_id string, atomic_task string").write.parquet(f"{tmp_path}/task_statements.parquet")
     got = {(r.provider_a, r.provider_b, r.a, r.b, r.score) for r in greedy_one_to_one(spark, str(tmp_path)).collect()}
     assert got == {("alpha", "beta", "a1", "b1", 1.0), ("alpha", "gamma", "a1", "g1", 1.0), ("beta", "gamma", "b1", "g1", 1.0), ("beta", "gamma", "b2", "g2", 1.0)}
+
+
+def test_whole_graph_links_every_row(spark):
+    import oracle
+
+    from quarrymill.plans.topics import whole_graph_edge_shares, whole_knn_edges
+
+    n = spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").count()
+    ends = {x for r in whole_knn_edges(spark, oracle.DATA).collect() for x in (r.a, r.b)}
+    assert len(ends) == n and whole_graph_edge_shares(spark, oracle.DATA).count() == n
