@@ -123,8 +123,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p6_unique_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "job_postings").where("description is not null").groupBy("posting_id").agg(F.min("company_name").alias("company_name"), F.min("description").alias("description"))
-    return boilerplate.unique_runs(d, "company_name", "posting_id", "description")
+    """A page is one delivered version of a posting: a distinct (posting_id, company_name, description)."""
+    d = table(spark, sf_dir, "job_postings").where("description is not null").select("posting_id", "company_name", "description").distinct()
+    # nulls are left out of the JSON, so a missing name is not an empty one
+    d = d.withColumn("page", F.sha2(F.to_json(F.struct("posting_id", "company_name", "description")), 256))
+    got = boilerplate.unique_runs(d.withColumn("page", F.struct("posting_id", "page")), "company_name", "page", "description")
+    return got.select("page.posting_id", "page.page", "n_tokens", "boilerplate_tokens", "unique_text")
 
 
 def _sql(name: str, text: str) -> None:

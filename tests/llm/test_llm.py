@@ -330,3 +330,15 @@ def test_shard_scores_against_brute_force():
             f = tf[j][m]
             want = (idf[terms[j][m]] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[j] / length.mean()))).sum()
             assert i == j or abs(s.scores(i)[j] - want) < 1e-3
+
+
+def test_unique_runs_takes_every_version(spark, tmp_path):
+    from quarrymill.llm.queries import QUERIES
+
+    common = " ".join(f"b{i}" for i in range(30))
+    rows = [("a", "h", f"one {common}"), ("a", "h", f"two {common} edited"), ("a", "h", f"two {common} edited"), ("b", "h", f"three {common}"), ("c", None, "x"), ("c", "", "x"), ("d", "h", None)]
+    spark.createDataFrame(rows, "posting_id string, company_name string, description string").write.parquet(f"{tmp_path}/job_postings.parquet")
+    got = QUERIES["p6_unique_runs"](spark, str(tmp_path)).collect()
+    # the two versions of a are pages of their own, so the run is on three pages
+    assert sorted((r.posting_id, r.boilerplate_tokens, r.unique_text) for r in got) == [("a", 30, "one"), ("a", 30, "two\nedited"), ("b", 30, "three"), ("c", 0, "x"), ("c", 0, "x")]
+    assert len({r.page for r in got}) == 5
