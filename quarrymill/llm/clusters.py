@@ -143,10 +143,64 @@ def local_moves(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution:
     return np.array(label)
 
 
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's connected set."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def group_links(x: np.ndarray, home: int, a: np.ndarray, b: np.ndarray, floor: float, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a cosine of ``floor`` or more between the connected sets of ``(a, b)``: the best of each two sets.
+
+    Full lists of near copies hide every weaker link of their rows, so the rows of different sets are compared in
+    full, after exact copies are one. Of the largest set only the pairs with other sets are worked out. Two rows that
+    are both behind the first ``home`` meet elsewhere.
+    """
+    n = len(x)
+    raw = np.ascontiguousarray(x)
+    _, first, back = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    rep = first[back.ravel()]
+    comp = _components(n, a, b)
+    apart = np.flatnonzero(comp != comp[rep])
+    fa, fb, fw = [rep[apart]], [apart], [np.ones(len(apart), np.float32)]
+    comp = _components(n, np.concatenate([a, fa[0]]), np.concatenate([b, fb[0]]))
+    # the first of its copies: a member, where one of them is
+    one = np.unique(rep)
+    big = comp[one] == np.bincount(comp[one]).argmax()
+    own = one < home
+    small, rest = one[own & ~big], np.concatenate([one[own & big], one[~own]])
+    for left, right in ((small, np.concatenate([small, rest])), (one[own & big], one[~own & ~big])):
+        for s in range(0, len(left), chunk):
+            u, v = left[s : s + chunk], right[s:] if left is small else right
+            ok = x[u] @ x[v].T >= floor
+            ok &= comp[u][:, None] != comp[v]
+            i, j = np.nonzero(ok)
+            i, j = u[i], v[j]
+            w = np.einsum("ij,ij->i", x[i], x[j])
+            p, q = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+            o = np.lexsort((j, i, -w, q, p))
+            best = o[np.unique(p[o] * n + q[o], return_index=True)[1]]
+            fa.append(i[best])
+            fb.append(j[best])
+            fw.append(w[best])
+    i, j, w = np.concatenate(fa), np.concatenate(fb), np.concatenate(fw)
+    return np.minimum(i, j), np.maximum(i, j), w
+
+
 def neighbour_graph(emb: DataFrame, model: str, k: int = 10, floor: float = 0.70, margin: float = 0.10, per_cell: int = 1400, block: int = 16384) -> DataFrame:
     """Edges ``(a, b, w, label)`` of the approximate nearest-neighbour graph, and first communities.
 
-    Rows meet in coarse cells of bounded blocks; each task runs neighbour descent over its block. An edge row has
+    Rows meet in coarse cells of bounded blocks; each task runs neighbour descent over its block, then looks for links
+    between the connected sets it found, as a list of ``k`` may be full of nearer copies. An edge row has
     ``b``; a row without ``b`` gives the first community of the member ``a``: modularity moves over the edges
     between the members of one block.
     """
@@ -166,6 +220,8 @@ def neighbour_graph(emb: DataFrame, model: str, k: int = 10, floor: float = 0.70
         a, j = np.nonzero(nbr >= 0)
         b, w = nbr[a, j], sim[a, j]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
+        la, lb, lw = group_links(y, home, lo, hi, floor)
+        lo, hi, w = np.concatenate([lo, la]), np.concatenate([hi, lb]), np.concatenate([w, lw])
         key = np.unique(lo * len(ids) + hi, return_index=True)[1]
         lo, hi, w = lo[key], hi[key], w[key].astype(np.float64)
         inner = (lo < home) & (hi < home)

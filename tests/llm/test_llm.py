@@ -342,3 +342,30 @@ def test_unique_runs_takes_every_version(spark, tmp_path):
     # the two versions of a are pages of their own, so the run is on three pages
     assert sorted((r.posting_id, r.boilerplate_tokens, r.unique_text) for r in got) == [("a", 30, "one"), ("a", 30, "two\nedited"), ("b", 30, "three"), ("c", 0, "x"), ("c", 0, "x")]
     assert len({r.page for r in got}) == 5
+
+
+def test_full_lists_of_copies_hide_no_link(spark):
+    # two sets of 15 copies at a cosine of 0.75, one of exact and one of near copies; a third set stays apart
+    rng = np.random.default_rng(2)
+    at = lambda c: np.array([c, np.sqrt(1 - c * c), 0, 0, 0, 0, 0, 0])
+    near = at(0.75) + np.concatenate([np.zeros((15, 2)), rng.normal(size=(15, 6)) * 0.005], 1)
+    apart = np.tile([0.0, 0, 0, 1, 0, 0, 0, 0], (15, 1))
+    x = np.concatenate([np.tile(at(1.0), (15, 1)), near, apart])
+    e = emb(spark, x, HARD)
+    got = {r.k: r.cluster_key for r in clusters.found(e, MODEL).collect()}
+    assert got == {f"k{i:04d}": "k0000" if i < 30 else "k0030" for i in range(45)}
+
+
+def test_group_links_against_brute_force():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 4)), rng.integers(1, 4, 60), 0).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    for home in (len(x), len(x) // 2):
+        a, b = np.nonzero(np.triu(s >= 0.98, 1))
+        i, j, w = clusters.group_links(x, home, a, b, 0.9, chunk=16)
+        assert (s[i, j] >= 0.9 - 1e-6).all() and np.allclose(w, s[i, j], atol=1e-5)
+        p, q = np.nonzero(np.triu((s >= 0.9), 1))
+        met = p < home
+        want = clusters._components(len(x), np.concatenate([a, p[met]]), np.concatenate([b, q[met]]))
+        assert (clusters._components(len(x), np.concatenate([a, i]), np.concatenate([b, j])) == want).all()
