@@ -57,9 +57,31 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.collapsed(table(spark, sf_dir, "job_postings"), "posting_id", FIELDS, "description")
 
 
+def _ingested(history: linkage.History, postings: DataFrame) -> DataFrame:
+    return history.ingest(postings, "posting_id", "retrieval_id", "description", "job_title", "company_name")
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.Linker(spark).seen(table(spark, sf_dir, "job_postings"), "posting_id", "retrieval_id", "description")
+    """Every snapshot checked against the persisted history of all earlier ones."""
+    return _ingested(linkage.History(spark), table(spark, sf_dir, "job_postings")).where("seen").select("retrieval_id", "posting_id")
+
+
+@query
+def p5_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest snapshot, checked against a history that holds all others already, with its link scores."""
+    postings = table(spark, sf_dir, "job_postings")
+    newest = postings.agg(F.max("retrieval_id")).first()[0]
+    history = linkage.History(spark)
+    _ingested(history, postings.where(F.col("retrieval_id") < newest))
+    return _ingested(history, postings.where(F.col("retrieval_id") == newest))
+
+
+@query
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = linkage.History(spark)
+    _ingested(history, table(spark, sf_dir, "job_postings"))
+    return history.clusters().withColumnRenamed("id", "posting_id")
 
 
 @query
