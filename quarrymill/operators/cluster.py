@@ -38,10 +38,12 @@ def kmeans(df: DataFrame, id_col: str, vec: str, k: int, seeds: tuple[int, ...]
         for pdf in batches:
             if not len(pdf):
                 continue
-            m = np.stack(pdf["f"].to_numpy())
-            d = np.sqrt(np.maximum(((m[:, None, :] - b.value[None]) ** 2).sum(2), 0))
-            two = np.sort(d, axis=1)[:, :2] if d.shape[1] > 1 else np.c_[d, d]
-            yield pd.DataFrame({id_col: pdf[id_col], "raw": d.argmin(1), "distance": two[:, 0], "confidence": 1 - two[:, 0] / np.maximum(two[:, 1], 1e-12)})
+            for s in range(0, len(pdf), 512):
+                m = np.stack(pdf["f"].to_numpy()[s : s + 512])
+                near = (b.value * b.value).sum(1) - 2 * m @ b.value.T
+                two = np.argsort(near, axis=1, kind="stable")[:, :2] if near.shape[1] > 1 else np.zeros((len(m), 2), int)
+                d = np.linalg.norm(m[:, None, :] - b.value[two], axis=2)
+                yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[s : s + 512], "raw": two[:, 0], "distance": d[:, 0], "confidence": 1 - d[:, 0] / np.maximum(d[:, 1], 1e-12)})
 
     kind = df.schema[id_col].dataType.simpleString()
     got = x.select(id_col, vector_to_array("f").alias("f")).mapInPandas(assign, f"{id_col} {kind}, raw int, distance double, confidence double")
@@ -69,41 +71,55 @@ def pca(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
 # -- kernels ----------------------------------------------------------------------------------------------------------
 
 
-def gmm_diagonal(x: np.ndarray, k: int, rounds: int = 40, inits: int = 3, reg: float = 1e-6) -> dict:
-    """Gaussian mixture with diagonal covariances: posteriors, labels, BIC, AIC and mean entropy of the best start."""
-    n, d = x.shape
+def gmm_diagonal(x: np.ndarray, k: int, rounds: int = 40, inits: int = 3, reg: float = 1e-6, mult: np.ndarray | None = None) -> dict:
+    """Gaussian mixture with diagonal covariances: posteriors, labels, BIC, AIC and mean entropy of the best start.
+
+    A point counts as many times as ``mult`` says.
+    """
+    d = x.shape[1]
+    mult = np.ones(len(x)) if mult is None else np.asarray(mult, float)
+    n = mult.sum()
     best = None
     for seed in range(inits):
         rng = np.random.default_rng(seed)
-        mean, var, weight = x[rng.choice(n, k, replace=n < k)], np.tile(x.var(0) + reg, (k, 1)), np.full(k, 1 / k)
+        mean, var, weight = x[rng.choice(len(x), k, replace=len(x) < k)], np.tile(x.var(0) + reg, (k, 1)), np.full(k, 1 / k)
         last = -np.inf
         for _ in range(rounds):
             log = -0.5 * (((x[:, None] - mean) ** 2 / var).sum(2) + np.log(2 * np.pi * var).sum(1)) + np.log(weight)
             top = log.max(1, keepdims=True)
             total = top[:, 0] + np.log(np.exp(log - top).sum(1))
             post = np.exp(log - total[:, None])
-            mass = post.sum(0) + 1e-12
-            weight, mean = mass / n, post.T @ x / mass[:, None]
-            var = np.maximum(post.T @ (x * x) / mass[:, None] - mean**2, 0) + reg
-            if total.mean() - last < 1e-5:
+            held = post * mult[:, None]
+            mass = held.sum(0) + 1e-12
+            weight, mean = mass / n, held.T @ x / mass[:, None]
+            var = np.maximum(held.T @ (x * x) / mass[:, None] - mean**2, 0) + reg
+            now = (total * mult).sum() / n
+            if now - last < 1e-5:
                 break
-            last = total.mean()
-        if best is None or total.sum() > best["loglik"]:
+            last = now
+        fit = float((total * mult).sum())
+        if best is None or fit > best["loglik"]:
             p = k * 2 * d + k - 1
-            best = {"loglik": float(total.sum()), "posterior": post, "label": post.argmax(1), "bic": float(p * np.log(n) - 2 * total.sum()), "aic": float(2 * p - 2 * total.sum()), "entropy": float(-(post * np.log(post + 1e-12)).sum(1).mean())}
+            best = {"loglik": fit, "posterior": post, "label": post.argmax(1), "bic": float(p * np.log(n) - 2 * fit), "aic": float(2 * p - 2 * fit), "entropy": float((-(post * np.log(post + 1e-12)).sum(1) * mult).sum() / n)}
     return best
 
 
-def hdbscan(x: np.ndarray, min_size: int = 10, min_samples: int = 5, leaf: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Labels (-1: noise) and membership probabilities by the density hierarchy of mutual reachability distances."""
+def hdbscan(x: np.ndarray, min_size: int = 10, min_samples: int = 5, leaf: bool = False, mult: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (-1: noise) and membership probabilities by the density hierarchy of mutual reachability distances.
+
+    A point counts as many times as ``mult`` says, in core distances, sizes and stabilities.
+    """
     n = len(x)
-    if n <= min_samples:
+    mult = np.ones(n, int) if mult is None else np.asarray(mult, int)
+    if mult.sum() <= min_samples:
         return np.full(n, -1), np.zeros(n)
     sq = (x * x).sum(1)
     core = np.empty(n)
     for s in range(0, n, 512):
         d = np.sqrt(np.maximum(sq[s : s + 512, None] + sq - 2 * x[s : s + 512] @ x.T, 0))
-        core[s : s + 512] = np.partition(d, min_samples, axis=1)[:, min_samples]
+        near = np.argsort(d, axis=1)
+        at = (np.cumsum(mult[near], axis=1) > min_samples).argmax(1)
+        core[s : s + 512] = np.take_along_axis(d, np.take_along_axis(near, at[:, None], 1), 1)[:, 0]
     # spanning tree by Prim, one row of distances at a time
     dist, link, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     edges, at = [], 0
@@ -117,7 +133,7 @@ def hdbscan(x: np.ndarray, min_size: int = 10, min_samples: int = 5, leaf: bool
     edges.sort()
     # single linkage tree
     parent = list(range(2 * n - 1))
-    kids, height, size = {}, {}, [1] * n + [0] * (n - 1)
+    kids, height, size = {}, {}, [*mult.tolist(), *[0] * (n - 1)]
 
     def root(i):
         while parent[i] != i:
@@ -163,7 +179,7 @@ def hdbscan(x: np.ndarray, min_size: int = 10, min_samples: int = 5, leaf: bool
                 todo.append((s, c))
             else:
                 out = leaves(s)
-                stability[c] += (lam - birth[c]) * len(out)
+                stability[c] += (lam - birth[c]) * int(mult[out].sum())
                 members[c] += [(i, lam) for i in out]
     chosen, worth = {}, {}
     for c in sorted(birth, reverse=True):
@@ -331,24 +347,26 @@ def knee(y: np.ndarray) -> int:
     return int(((1 - t) - (y - y[-1]) / (y[0] - y[-1])).argmax())
 
 
-def balanced(sim: np.ndarray, capacity: int) -> np.ndarray:
-    """Each row to its most similar column with room left, the surest rows first."""
+def balanced(sim: np.ndarray, capacity: int, mult: np.ndarray | None = None) -> np.ndarray:
+    """Each row to its most similar column with room left, the surest rows first; a row takes ``mult`` places, the last
+    one of a column may take more than are left. Where no column has room, the most similar one takes it."""
+    mult = np.ones(len(sim), int) if mult is None else mult
     lead = np.sort(sim, axis=1)
     order = np.argsort(-(lead[:, -1] - (lead[:, -2] if sim.shape[1] > 1 else 0)), kind="stable")
-    room, out = np.full(sim.shape[1], capacity), np.full(len(sim), -1)
+    room, out = np.full(sim.shape[1], capacity), sim.argmax(1)
     for i in order:
         for j in np.argsort(-sim[i], kind="stable"):
-            if room[j]:
-                room[j] -= 1
+            if room[j] > 0:
+                room[j] -= mult[i]
                 out[i] = j
                 break
     return out
 
 
-def silhouettes(x: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Silhouette of each row by Euclidean distance, 0 for rows alone; in blocks."""
+def silhouettes(x: np.ndarray, label: np.ndarray, mult: np.ndarray | None = None) -> np.ndarray:
+    """Silhouette of each point by Euclidean distance, 0 for points alone; in blocks. Points count ``mult`` times."""
     k = int(label.max()) + 1
-    one = np.eye(k)[label]
+    one = np.eye(k)[label] * (np.ones(len(x)) if mult is None else mult)[:, None]
     count, sq, out = one.sum(0), (x * x).sum(1), np.zeros(len(x))
     for s in range(0, len(x), 512):
         d = np.sqrt(np.maximum(sq[s : s + 512, None] + sq - 2 * x[s : s + 512] @ x.T, 0)) @ one
@@ -363,33 +381,50 @@ def silhouettes(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def internal_metrics(x: np.ndarray, label: np.ndarray) -> dict:
-    """Mean silhouette, Davies-Bouldin and Calinski-Harabasz of the labelled rows; noise is left out."""
+def internal_metrics(x: np.ndarray, label: np.ndarray, mult: np.ndarray | None = None) -> dict:
+    """Mean silhouette, Davies-Bouldin and Calinski-Harabasz of the labelled points; noise is left out."""
+    mult = (np.ones(len(x)) if mult is None else np.asarray(mult, float))[label >= 0]
     x, label = x[label >= 0], np.unique(label[label >= 0], return_inverse=True)[1]
     k = int(label.max()) + 1 if len(label) else 0
     if k < 2:
         return {"silhouette": None, "davies_bouldin": None, "calinski_harabasz": None}
-    c = np.stack([x[label == j].mean(0) for j in range(k)])
-    n = np.bincount(label)
-    spread = np.array([np.linalg.norm(x[label == j] - c[j], axis=1).mean() for j in range(k)])
+    n = np.bincount(label, mult)
+    mean = lambda j, y: (y[label == j] * (mult[label == j] if y.ndim == 1 else mult[label == j, None])).sum(0) / n[j]
+    c = np.stack([mean(j, x) for j in range(k)])
+    far = np.linalg.norm(x - c[label], axis=1)
+    spread = np.array([mean(j, far) for j in range(k)])
     gap = np.linalg.norm(c[:, None] - c[None], axis=2)
     np.fill_diagonal(gap, np.inf)
-    within, between = ((x - c[label]) ** 2).sum(), (n[:, None] * (c - x.mean(0)) ** 2).sum()
-    return {"silhouette": float(silhouettes(x, label).mean()), "davies_bouldin": float(((spread[:, None] + spread) / gap).max(1).mean()), "calinski_harabasz": float(between / (k - 1) / (within / (len(x) - k)))}
-
+    centre = (x * mult[:, None]).sum(0) / n.sum()
+    within, between = (far * far * mult).sum(), (n[:, None] * (c - centre) ** 2).sum()
+    return {"silhouette": float((silhouettes(x, label, mult) * mult).sum() / n.sum()), "davies_bouldin": float(((spread[:, None] + spread) / gap).max(1).mean()), "calinski_harabasz": float(between / (k - 1) / (within / (n.sum() - k)))}
 
-def on_one_group(df: DataFrame, id_col: str, vec: str, kernel, schema: str, most: int = MOST_POINTS) -> DataFrame:
-    """Runs a kernel over all rows of a table of at most ``most`` rows, in one task; fails on a larger table."""
-    n = df.where(F.col(vec).isNotNull()).count()
-    if n > most:
-        raise ValueError(f"{n} points: reduce them by prototypes() first; a kernel takes {most}")
 
-    def run(pdf):
-        pdf = pdf.sort_values(id_col, ignore_index=True)
-        x = np.stack(pdf["v"].to_numpy())
-        return kernel(pdf[id_col].to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+def on_points(df: DataFrame, id_col: str, vec: str, kernel, fields: str, most: int = MOST_POINTS) -> DataFrame:
+    """``(id, fields)``: the result of a kernel over all rows, of bounded size whatever the table's.
 
-    return df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias("v")).groupBy().applyInPandas(run, schema)
+    ``kernel(x, mult)`` takes unit points and how many rows each stands for, and returns a frame of ``fields`` with a row
+    for each point. Rows of a table of at most ``most`` rows are the points themselves, in the order of their ids; a
+    larger table is first reduced to ``most`` prototypes by k-means over all rows, and each row gets its prototype's
+    result. Null vectors take no part; an empty table gives no rows.
+    """
+    d = df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias("v"))
+    kind = d.schema[id_col].dataType.simpleString()
+
+    def run(key: str):
+        def one(pdf):
+            pdf = pdf.sort_values(key, ignore_index=True)
+            x = np.stack(pdf["v"].to_numpy())
+            got = kernel(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), pdf["n"].to_numpy() if "n" in pdf else np.ones(len(pdf), int))
+            return pd.concat([pdf[[key]], got], axis=1)
+
+        return one
+
+    if d.count() <= most:
+        return d.groupBy().applyInPandas(run(id_col), f"{id_col} {kind}, {fields}")
+    lab, cents = prototypes(d, id_col, "v", most)
+    points = cents.select("cluster", "n", F.col("centroid").alias("v")).groupBy().applyInPandas(run("cluster"), f"cluster int, {fields}")
+    return lab.join(points, "cluster").drop("cluster")
 
 
 def prototypes(df: DataFrame, id_col: str, vec: str, k: int) -> tuple[DataFrame, DataFrame]:

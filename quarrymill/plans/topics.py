@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import scores as S
 from quarrymill.functions.text import STOPWORDS
-from quarrymill.operators import cluster, keywords, ledger, similarity
-from quarrymill.plans.registry import ORACLE, query
+from quarrymill.functions.vectors import mean_vectors
+from quarrymill.operators import cluster, keywords, ledger, neighbours, similarity
+from quarrymill.plans.registry import query
 from quarrymill.runtime import Workspace, table
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -37,45 +38,31 @@ def topk_margin_decision(spark, sf):
     return m.select("q", "top1", "margin", S.decision(F.col("top1"), F.col("margin"), 0.8, 0.6, 0.01).alias("decision"))
 
 
-@query(TOP + " SELECT least(q,r) AS a, greatest(q,r) AS b, max(sim) AS w FROM k WHERE rank <= 10 AND sim > 0 GROUP BY 1, 2")
+ALL = TOP.replace("a.vec_id % 50 = 0 AND ", "")
+_EDGES = " SELECT least(q,r) AS a, greatest(q,r) AS b, max(sim) AS w FROM k WHERE rank <= 10 AND sim > 0 GROUP BY 1, 2"
+
+
+@query(ALL + _EDGES)
 def knn_edges(spark, sf):
-    return similarity.edges_of(_top(spark, sf, 10), "q", "r")
+    """The graph of the ten nearest neighbours of every row."""
+    return similarity.edges_of(neighbours.nearest(_emb(spark, sf), "vec_id", "embedding", 10), "q", "r")
+
+
+_GRAPH = ALL + f", e AS ({_EDGES}), x AS (SELECT e.*, la.label AS la, lb.label AS lb FROM e JOIN embeddings la ON la.vec_id = a JOIN embeddings lb ON lb.vec_id = b)"
 
 
-_GRAPH = TOP + ", e AS (SELECT least(q,r) AS a, greatest(q,r) AS b, max(sim) AS w FROM k WHERE rank <= 10 AND sim > 0 GROUP BY 1, 2), x AS (SELECT e.*, la.label AS la, lb.label AS lb FROM e JOIN embeddings la ON la.vec_id = a JOIN embeddings lb ON lb.vec_id = b)"
+def _edges(spark, sf):
+    return Workspace(spark, "graph").cut(knn_edges(spark, sf), "edges")
 
 
 @query(_GRAPH + ", d AS (SELECT l, sum(w) AS d FROM (SELECT la AS l, w FROM x UNION ALL SELECT lb, w FROM x) GROUP BY l), m AS (SELECT sum(w) AS m, sum(CASE WHEN la = lb THEN w ELSE 0 END) AS inner_ FROM x) SELECT round(inner_/m - (SELECT sum(d*d) FROM d)/(4*m*m), 6) AS modularity, round(inner_/m, 6) AS inside_share, round(m, 6) AS weight FROM m")
 def graph_modularity(spark, sf):
-    return similarity.modularity(knn_edges(spark, sf), _emb(spark, sf), "vec_id", "label")
+    return similarity.modularity(_edges(spark, sf), _emb(spark, sf), "vec_id", "label")
 
 
 @query(_GRAPH + " SELECT vec_id, own_share, own_share < 0.5 AS boundary FROM (SELECT vec_id, round(sum(CASE WHEN own THEN w ELSE 0 END)/sum(w), 6) AS own_share FROM (SELECT a AS vec_id, w, la = lb AS own FROM x UNION ALL SELECT b, w, la = lb FROM x) GROUP BY 1)")
 def graph_edge_shares(spark, sf):
-    return similarity.edge_shares(knn_edges(spark, sf), _emb(spark, sf), "vec_id", "label")
-
-
-# the same over the graph of all rows; the three above are held to their SQL, which asks for the rows of vec_id % 50 = 0
-_WHOLE = lambda sql: sql.replace("a.vec_id % 50 = 0 AND ", "")
-
-
-@query(_WHOLE(ORACLE["knn_edges"]))
-def whole_knn_edges(spark, sf):
-    """Ten neighbours of every row. Each block of rows meets each chunk in a bounded task; the work is rows x rows."""
-    e = _emb(spark, sf)
-    return similarity.edges_of(similarity.top_k(e.withColumnRenamed("vec_id", "q"), e.withColumnRenamed("vec_id", "r"), "q", "r", "embedding", 10), "q", "r")
-
-
-@query(_WHOLE(ORACLE["graph_modularity"]))
-def whole_graph_modularity(spark, sf):
-    edges = Workspace(spark, "whole-graph").cut(whole_knn_edges(spark, sf), "edges")
-    return similarity.modularity(edges, _emb(spark, sf), "vec_id", "label")
-
-
-@query(_WHOLE(ORACLE["graph_edge_shares"]))
-def whole_graph_edge_shares(spark, sf):
-    edges = Workspace(spark, "whole-graph").cut(whole_knn_edges(spark, sf), "edges")
-    return similarity.edge_shares(edges, _emb(spark, sf), "vec_id", "label")
+    return similarity.edge_shares(_edges(spark, sf), _emb(spark, sf), "vec_id", "label")
 
 
 @query(TOP + ", v AS (SELECT q, label, sum(sim) AS s FROM k JOIN embeddings ON vec_id = r WHERE rank <= 10 GROUP BY 1, 2) SELECT q, label AS vote, round(s / t, 6) AS confidence FROM (SELECT *, sum(s) OVER (PARTITION BY q) AS t, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, label) AS r FROM v) WHERE r = 1")
@@ -229,27 +216,27 @@ def pca_projection(spark, sf):
 
 @query()
 def gmm_topics(spark, sf):
-    def fit(ids, x):
-        g = cluster.gmm_diagonal(x, 10)
-        return pd.DataFrame({"vec_id": ids, "cluster": g["label"].astype("int32"), "confidence": g["posterior"].max(1).round(6), "bic": round(g["bic"], 3)})
+    def fit(x, mult):
+        g = cluster.gmm_diagonal(x, 10, mult=mult)
+        return pd.DataFrame({"cluster": g["label"].astype("int32"), "confidence": g["posterior"].max(1).round(6), "bic": round(g["bic"], 3)})
 
-    return cluster.on_one_group(_emb(spark, sf), "vec_id", "embedding", fit, "vec_id long, cluster int, confidence double, bic double")
+    return cluster.on_points(_emb(spark, sf), "vec_id", "embedding", fit, "cluster int, confidence double, bic double")
 
 
 @query()
 def density_topics(spark, sf):
-    def fit(ids, x):
-        lab, prob = cluster.hdbscan(x, 10, 5)
-        return pd.DataFrame({"vec_id": ids, "cluster": lab.astype("int32"), "probability": prob.round(6)})
+    def fit(x, mult):
+        lab, prob = cluster.hdbscan(x, 10, 5, mult=mult)
+        return pd.DataFrame({"cluster": lab.astype("int32"), "probability": prob.round(6)})
 
-    return cluster.on_one_group(_emb(spark, sf), "vec_id", "embedding", fit, "vec_id long, cluster int, probability double")
+    return cluster.on_points(_emb(spark, sf), "vec_id", "embedding", fit, "cluster int, probability double")
 
 
 @query()
 def community_topics(spark, sf):
     """Communities of the 10-nearest-neighbour graph nearest to 10, with their resolution."""
 
-    def fit(ids, x):
+    def fit(x, mult):
         s = x @ x.T
         np.fill_diagonal(s, -2)
         nb = np.argsort(-s, axis=1, kind="stable")[:, :10]
@@ -257,25 +244,30 @@ def community_topics(spark, sf):
         keep = s[a, b] > 0
         lo, hi = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
         _, first = np.unique(lo * len(x) + hi, return_index=True)
-        lab, res = cluster.to_target(len(x), lo[first], hi[first], s[lo[first], hi[first]], 10)
-        return pd.DataFrame({"vec_id": ids, "cluster": lab.astype("int32"), "resolution": round(res, 6)})
+        lo, hi = lo[first], hi[first]
+        lab, res = cluster.to_target(len(x), lo, hi, s[lo, hi] * np.sqrt(mult[lo] * mult[hi]), 10)
+        return pd.DataFrame({"cluster": lab.astype("int32"), "resolution": round(res, 6)})
 
-    return cluster.on_one_group(_emb(spark, sf), "vec_id", "embedding", fit, "vec_id long, cluster int, resolution double")
+    return cluster.on_points(_emb(spark, sf), "vec_id", "embedding", fit, "cluster int, resolution double")
 
 
 @query()
 def partition_metrics(spark, sf):
-    """Silhouette, Davies-Bouldin and Calinski-Harabasz of the given labels."""
-    lab = _emb(spark, sf).select("vec_id", "label", "embedding")
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz of the given labels, over the rows or, of a larger table, over
+    the prototypes of each label."""
+    d = _emb(spark, sf).where("label is not null and embedding is not null").select("vec_id", "label", "embedding")
+    points = d.select("label", F.lit(1).cast("long").alias("n"), F.col("embedding").cast("array<double>").alias("v"))
+    if d.count() > cluster.MOST_POINTS:
+        labels = max(1, d.select("label").distinct().count())
+        lab, _ = cluster.prototypes(d, "vec_id", "embedding", max(2, cluster.MOST_POINTS // labels))
+        points = mean_vectors(d.join(lab, "vec_id"), ["label", "cluster"], "embedding").select("label", "n", F.col("centroid").alias("v"))
 
     def run(pdf):
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        m = cluster.internal_metrics(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), pdf["label"].to_numpy())
+        x = np.stack(pdf["v"].to_numpy())
+        m = cluster.internal_metrics(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), pdf["label"].to_numpy(), pdf["n"].to_numpy())
         return pd.DataFrame([{k: None if v is None else round(v, 6) for k, v in m.items()}])
 
-    if lab.count() > cluster.MOST_POINTS:
-        raise ValueError("reduce by prototypes() first")
-    return lab.where("label is not null").groupBy().applyInPandas(run, "silhouette double, davies_bouldin double, calinski_harabasz double")
+    return points.groupBy().applyInPandas(run, "silhouette double, davies_bouldin double, calinski_harabasz double")
 
 
 @query()
@@ -346,10 +338,10 @@ def co_association(spark, sf):
 
 @query()
 def farthest_point_prototypes(spark, sf):
-    def fit(ids, x):
+    def fit(x, mult):
         at, radius = cluster.farthest_points(x, 60)
         k = cluster.knee(radius)
-        near = cluster.balanced(x @ x[at].T, -(-len(x) // len(at)))
-        return pd.DataFrame({"vec_id": ids, "region": near.astype("int32"), "is_prototype": np.isin(np.arange(len(x)), at), "knee": np.full(len(x), k, "int32")})
+        near = cluster.balanced(x @ x[at].T, -(-int(mult.sum()) // len(at)), mult)
+        return pd.DataFrame({"region": near.astype("int32"), "is_prototype": np.isin(np.arange(len(x)), at), "knee": np.full(len(x), k, "int32")})
 
-    return cluster.on_one_group(_emb(spark, sf), "vec_id", "embedding", fit, "vec_id long, region int, is_prototype boolean, knee int")
+    return cluster.on_points(_emb(spark, sf), "vec_id", "embedding", fit, "region int, is_prototype boolean, knee int")

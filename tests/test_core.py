@@ -241,11 +241,52 @@ def test_greedy_compares_each_pair_of_providers(spark, tmp_path):
     assert got == {("alpha", "beta", "a1", "b1", 1.0), ("alpha", "gamma", "a1", "g1", 1.0), ("beta", "gamma", "b1", "g1", 1.0), ("beta", "gamma", "b2", "g2", 1.0)}
 
 
-def test_whole_graph_links_every_row(spark):
+def test_graph_links_every_row(spark):
     import oracle
 
-    from quarrymill.plans.topics import whole_graph_edge_shares, whole_knn_edges
+    from quarrymill.plans.topics import graph_edge_shares, knn_edges
 
     n = spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").count()
-    ends = {x for r in whole_knn_edges(spark, oracle.DATA).collect() for x in (r.a, r.b)}
-    assert len(ends) == n and whole_graph_edge_shares(spark, oracle.DATA).count() == n
+    ends = {x for r in knn_edges(spark, oracle.DATA).collect() for x in (r.a, r.b)}
+    assert len(ends) == n and graph_edge_shares(spark, oracle.DATA).count() == n
+
+
+def test_exact_neighbours_in_any_cells_and_blocks(spark):
+    """Cells, blocks, ties, repeated rows and nulls: the same rows as brute force."""
+    from quarrymill.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(3, 6))[rng.integers(0, 3, 150)] + 0.1 * rng.normal(size=(150, 6)), rng.normal(size=(40, 6)), np.ones((20, 6))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    d = spark.createDataFrame([*rows, (900, None), (None, rows[0][1])], "id long, v array<double>").withColumn("q", F.lit("clash")).withColumn("sim", F.lit(0))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j), r + 1) for i in range(len(x)) for r, j in enumerate(np.argsort(-s[i], kind="stable")[:5])}
+    for per_cell, block in ((1000, 4096), (30, 4096), (30, 16), (1000, 32)):
+        got = neighbours.nearest(d, "id", "v", 5, per_cell, block).collect()
+        assert {(r.q, r.r, r["rank"]) for r in got} == want and len(got) == len(want), (per_cell, block)
+    assert neighbours.nearest(d.limit(0), "id", "v", 5).count() == 0
+    assert neighbours.nearest(d.where("id < 3"), "id", "v", 5).count() == 6
+
+
+def test_kernels_take_larger_tables_by_prototypes(spark):
+    """A table beyond a kernel's size gives every row its prototype's result; weights stand for rows."""
+    from quarrymill.operators import cluster
+
+    rng = np.random.default_rng(4)
+    c = np.eye(4) * 5
+    x = np.repeat(c, 60, axis=0) + 0.2 * rng.normal(size=(240, 4))
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    fit = lambda p, m: pd.DataFrame({"label": cluster.hdbscan(p, 20, 3, mult=m)[0].astype("int32"), "of": m})
+    for most in (1000, 40):
+        got = cluster.on_points(d, "id", "v", fit, "label int, of long", most).toPandas().sort_values("id")
+        assert len(got) == 240 and got["label"].nunique() == 4
+        assert all(got["label"].to_numpy()[i * 60 : i * 60 + 60].min() == got["label"].to_numpy()[i * 60 : i * 60 + 60].max() for i in range(4))
+    # repeated points and weighted points are the same
+    p, m = x[::7], np.arange(len(x[::7])) % 3 + 1
+    again = np.repeat(p, m, axis=0)
+    assert (cluster.hdbscan(p, 8, 4, mult=m)[0][np.repeat(np.arange(len(p)), m)] == cluster.hdbscan(again, 8, 4)[0]).all()
+    lab = np.arange(len(p)) % 2
+    one, two = cluster.internal_metrics(p, lab, m), cluster.internal_metrics(again, np.repeat(lab, m))
+    assert one["davies_bouldin"] == pytest.approx(two["davies_bouldin"]) and one["calinski_harabasz"] == pytest.approx(two["calinski_harabasz"]) and one["silhouette"] == pytest.approx(two["silhouette"])
