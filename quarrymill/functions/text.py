@@ -306,3 +306,16 @@ def _located(source: pd.Series, evidence: pd.Series) -> pd.DataFrame:
 def located(source, evidence) -> Column:
     """``locate`` over two columns, as a struct."""
     return F.pandas_udf(_located, LOCATED)(source, evidence)
+
+
+def language_by_words(words: Column, common: dict[str, str]) -> Column:
+    """The language most of whose frequent words are among ``words``; null without any or with a tie."""
+    score = lambda ws: F.size(F.filter(words, lambda x: x.isin(*ws.split())))
+    ranked = F.reverse(F.array_sort(F.array(*[F.struct(score(ws).alias("n"), F.lit(lang).alias("l")) for lang, ws in common.items()])))
+    first, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
+    return F.when((first["n"] > 0) & (first["n"] != second["n"]), first["l"])
+
+
+def tells_a_count(c: Column, nouns: list[str]) -> Column:
+    """Whether a text names a number of one of the nouns."""
+    return F.coalesce(F.lower(c).rlike(rf"\b[0-9]+ ({'|'.join(nouns)})\b"), F.lit(False))
