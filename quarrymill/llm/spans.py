@@ -151,16 +151,36 @@ def _membership(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _packed(cols: list[np.ndarray], bucket: np.ndarray, names: tuple) -> pd.DataFrame:
-    """Columns split by bucket, each part one binary value: what travels is columns, which compress, not rows."""
+    """Columns split by bucket, each part one binary value: what travels is columns, which compress, not rows. A column
+    without values is empty in every part."""
     o = np.argsort(bucket, kind="stable")
     b = bucket[o]
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
-    parts = {n: [x.tobytes() for x in np.split(c[o], cut[1:])] if len(b) else [] for n, c in zip(names, cols)}
+    parts = {n: [x.tobytes() for x in np.split(c[o], cut[1:])] if len(c) else [b""] * len(cut) for n, c in zip(names, cols)}
     return pd.DataFrame({"bucket": b[cut], **parts})
 
 
 def _unpacked(col: pd.Series, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(col), kind)
+    return np.frombuffer(b"".join(x for x in col if x is not None), kind)
+
+
+def _runs(ids: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts (id, first, last) joined where the texts of two of them touch; windows are ``least`` long."""
+    o = np.lexsort((first, ids))
+    ids, first, last = ids[o], first[o].astype(np.int64), last[o].astype(np.int64)
+    if not len(ids):
+        return ids, first.astype(np.int32), last.astype(np.int32)
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    shift = np.cumsum(new).astype(np.int64) << 33  # keeps the ends of one text apart from the next one's
+    upto = np.maximum.accumulate(last + shift)
+    new[1:] |= (first + shift)[1:] - upto[:-1] > least
+    at = np.flatnonzero(new)
+    return ids[at], first[at].astype(np.int32), (upto - shift)[np.append(at[1:], len(ids)) - 1].astype(np.int32)
+
+
+#: Windows that a task holds at once.
+HELD = 1 << 20
+_PART = "bucket int, kind int, h binary, id binary, first binary, last binary"
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, most_filter_bits: int = 1 << 28) -> DataFrame:
@@ -171,18 +191,23 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole length; a passage repeated only inside its own text is not shared. Ids must be unique; other columns
     are ignored, an empty table gives no rows. ``most_filter_bits`` bounds what is broadcast (32 MB by default):
     beyond some 30 million blocks the filter passes more windows on to the exact grouping, it never loses one.
+
+    A passage that a third of all texts hold is settled where it is read: windows that two texts of a slice of HELD
+    windows hold are shared at once, leave the task as runs, and only one of them stands for the slice in the group of
+    its hash.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "spans")
     block = (least + 1) // 3
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= least)
-    keyed = d.withColumn("key", F.unhex(F.sha2("text", 256)))
     # only keys are grouped; texts stay where they are read
-    classes = ws.cut(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.collect_list("id").alias("ids"), F.any_value(F.length("text")).alias("n")).drop("key"), "classes")
-    copies = ws.cut(classes.where("copies > 1").select(F.explode("ids").alias("id"), "rep").where("id <> rep").select("id"), "copies")
+    keys = ws.cut(d.select("id", F.unhex(F.sha2("text", 256)).alias("key"), F.length("text").alias("n")), "keys")
+    several = keys.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep <> top").select("key", "rep")
+    copies = ws.cut(keys.join(several, "key").select("id", "rep", "n"), "copies")
+    others = copies.where("id <> rep").select("id")
     # the ids of copies go to the texts while they are few, so that no text moves; beyond that both sides shuffle
-    reps = d.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "id", "left_anti")
-    blocks = int(fold(classes, b=F.sum(F.floor(F.col("n") / block)))["b"] or 0)
+    reps = d.join(F.broadcast(others) if copies.count() <= BROADCAST_IDS else others, "id", "left_anti")
+    blocks = int(fold(keys, b=F.sum(F.floor(F.col("n") / block)))["b"] or 0)
     bits = _filter_bits(blocks, most_filter_bits)
 
     def index(batches):
@@ -198,6 +223,26 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice = ref.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h")
     repeated = spark.sparkContext.broadcast(_membership(twice, bits))
 
+    def packed(kind, h, ids, first, last, by_id):
+        slot = _mix(ids.view(np.uint64)) if by_id else h
+        return _packed([h, ids, first, last], (slot % np.uint64(buckets)).astype(np.int32), ("h", "id", "first", "last")).assign(kind=kind)
+
+    def settled(h, ids, told):
+        """Of windows sorted by hash: those that two texts hold and that are not told yet, and the first of each such."""
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+        two = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(h) else np.zeros(0, bool)
+        return np.repeat(two, np.diff(np.append(first, len(h)))) & ~told, first[two]
+
+    def flush(held):
+        h, ids, at = (np.concatenate(c) for c in zip(*held))
+        o = np.argsort(h, kind="stable")
+        h, ids, at = h[o], ids[o], at[o]
+        yes, lead = settled(h, ids, np.zeros(len(h), bool))
+        i, f, e = _runs(ids[yes], at[yes], at[yes], least)
+        none = np.zeros(0, np.uint64)
+        parts = [(0, h[~yes], ids[~yes], at[~yes], at[:0], False), (2, h[lead], ids[lead], at[:0], at[:0], False), (1, none, i, f, e, True)]
+        return pd.concat([packed(k, *x) for k, *x in parts if len(x[1])], ignore_index=True)[["bucket", "kind", "h", "id", "first", "last"]]
+
     def probe(batches):
         roll = Roller()
         held: list[tuple] = []
@@ -222,42 +267,38 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 w, owner = w[inside], owner[inside]
                 held.append((roll.at(prefix, w, least), ids[owner], (w - starts[owner]).astype(np.int32)))
                 n += len(w)
-                if n > 1 << 20:
-                    yield _packed([np.concatenate(c) for c in zip(*held)], held_bucket(held), ("h", "id", "at"))
+                if n > HELD:
+                    yield flush(held)
                     held, n = [], 0
         if n:
-            yield _packed([np.concatenate(c) for c in zip(*held)], held_bucket(held), ("h", "id", "at"))
-
-    def held_bucket(held):
-        return (np.concatenate([x[0] for x in held]) % np.uint64(buckets)).astype(np.int32)
+            yield flush(held)
 
     def shared(pdf):
-        h, ids, at = _unpacked(pdf["h"], np.uint64), _unpacked(pdf["id"], np.int64), _unpacked(pdf["at"], np.int32)
+        done = pdf["kind"] == 1
+        run = pdf[done]
+        rows = {k: pdf[pdf["kind"] == k] for k in (0, 2)}
+        h = np.concatenate([_unpacked(rows[k]["h"], np.uint64) for k in (0, 2)])
+        ids = np.concatenate([_unpacked(rows[k]["id"], np.int64) for k in (0, 2)])
+        at = _unpacked(rows[0]["first"], np.int32)
+        told = np.arange(len(h)) >= len(at)
+        at = np.concatenate([at, np.zeros(len(h) - len(at), np.int32)])
         o = np.argsort(h, kind="stable")
-        h, ids, at = h[o], ids[o], at[o]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        two = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        keep = np.repeat(two, np.diff(np.append(first, len(h))))
-        ids, at = ids[keep], at[keep]
-        o = np.lexsort((at, ids))
-        ids, at = ids[o], at[o]
-        return _packed([ids, at], (_mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), ("id", "at"))
-
-    def runs_of(pdf):
-        ids, at = _unpacked(pdf["id"], np.int64), _unpacked(pdf["at"], np.int32)
-        o = np.lexsort((at, ids))
-        ids, at = ids[o], at[o]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (at[1:] - at[:-1] > least)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(ids)) - 1
-        return pd.DataFrame({"id": ids[first], "span_start": at[first], "span_end": at[last] + least})
-
-    windows = reps.mapInPandas(probe, "bucket int, h binary, id binary, at binary")
-    hits = windows.groupBy("bucket").applyInPandas(shared, "bucket int, id binary, at binary")
-    runs = hits.groupBy("bucket").applyInPandas(runs_of, "id long, span_start int, span_end int")
-    whole = classes.where("copies > 1").select(F.explode("ids").alias("id"), F.lit(0).alias("span_start"), F.col("n").cast("int").alias("span_end"))
-    alone = runs.join(classes.where("copies > 1").select(F.col("rep").alias("id")), "id", "left_anti")
+        h, ids, at, told = h[o], ids[o], at[o], told[o]
+        yes, _ = settled(h, ids, told)
+        i = np.concatenate([ids[yes], _unpacked(run["id"], np.int64)])
+        f, e = np.concatenate([at[yes], _unpacked(run["first"], np.int32)]), np.concatenate([at[yes], _unpacked(run["last"], np.int32)])
+        i, f, e = _runs(i, f, e, least)
+        return _packed([i, f, e], (_mix(i.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), ("id", "first", "last"))
+
+    def joined(pdf):
+        i, f, e = _runs(_unpacked(pdf["id"], np.int64), _unpacked(pdf["first"], np.int32), _unpacked(pdf["last"], np.int32), least)
+        return pd.DataFrame({"id": i, "span_start": f, "span_end": e + least})
+
+    windows = reps.mapInPandas(probe, _PART)
+    hits = windows.groupBy("bucket").applyInPandas(shared, "bucket int, id binary, first binary, last binary")
+    runs = hits.groupBy("bucket").applyInPandas(joined, "id long, span_start int, span_end int")
+    whole = copies.select("id", F.lit(0).alias("span_start"), F.col("n").cast("int").alias("span_end"))
+    alone = runs.join(copies.where("id = rep").select("id"), "id", "left_anti")
     return alone.union(whole).withColumnRenamed("id", id_col)
 
 

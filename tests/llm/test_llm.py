@@ -102,6 +102,21 @@ def test_spans_against_brute_force(spark):
     assert spans.shared_spans(d.limit(0)).count() == 0
 
 
+def test_span_slices_of_any_size(spark, monkeypatch):
+    """A passage that every text holds, read in slices of few windows: the same spans as in one."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q = text(260), text(230)
+    docs = [(i, text(rng.randrange(90)) + p + text(rng.randrange(300)) + (q if i % 7 == 0 else "") + (p if i % 5 == 0 else "")) for i in range(40)] + [(90, q + text(30) + q), (91, text(500))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    whole = sorted(tuple(r) for r in spans.shared_spans(d).collect())
+    monkeypatch.setattr(spans, "HELD", 300)
+    assert sorted(tuple(r) for r in spans.shared_spans(d).collect()) == whole
+    ends = {i: t.find(p) for i, t in docs[:40]}
+    assert all(any(r[0] == i and r[1] <= s and r[2] >= s + 260 for r in whole) for i, s in ends.items())
+    assert not any(r[0] == 91 for r in whole)
+
+
 def test_formatting(spark):
     rows = [("p1", "Baker", "ACME Ltd.", "Bake <bread>!"), ("p2", "acme ltd", "BAKER", "bake bread"), ("p3", "Baker", "ACME", "Bake bread"), ("p4", None, "x", "y"), ("p5", "X", "", "Y."), ("p6", "a", "b", None), ("p2", "other", "job", "z"), ("p7", "JOB", "other", "Z"), ("p1", "Baker", "ACME Ltd.", "Bake <bread>!"), (None, "a", "b", "c"), ("p8", "ﬁne", "co", "①"), ("p9", "FINE", "Co", "1")]
     d = spark.createDataFrame(rows, "posting_id string, job_title string, company_name string, description string").withColumn("id", F.lit(0)).withColumn("key", F.lit(0))
