@@ -20,7 +20,7 @@ from quarrymill.runtime import Workspace, fold
 _BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Characters hashed at once; a longer text is still hashed whole, alone.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 #: Most ids (8 bytes each) that are broadcast.
 BROADCAST_IDS = 1_000_000
 
