@@ -156,6 +156,11 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
 
+def swapped(word: str) -> set[str]:
+    """The word with any two neighbouring letters changed over."""
+    return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+
+
 class Corrector:
     """Words corrected to a vocabulary by its BK-tree; what is near nothing is None. Remembers bounded many."""
 
@@ -170,9 +175,14 @@ class Corrector:
         if word not in self.memo:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            # two neighbouring letters changed over are one slip of the hand
-            swaps = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} & self.vocabulary if len(word) > 3 else ()
-            got = [(1, s) for s in sorted(swaps)] or self.tree.within(word, allowed(word))
+            # two neighbouring letters changed over are one slip of the hand, and a long word may hold two
+            once = swapped(word) if len(word) > 3 else set()
+            got = [(1, s) for s in sorted(once & self.vocabulary)] or self.tree.within(word, allowed(word))
+            if not got and len(word) > 6:
+                got = [(2, s) for s in sorted({t for o in once for t in swapped(o)} & self.vocabulary)]
+            if not got and len(word) > 11:  # three slips in a long word, if one word alone is that near
+                got = [g for g in self.tree.within(word, 3) if g[1][0] == word[0]]
+                got = got if len(got) == 1 else []
             # of words as near, the one of the same first letter and nearest length
             self.memo[word] = min(got, key=lambda g: (g[0], g[1][0] != word[0], abs(len(g[1]) - len(word)), g[1]))[1] if got else None
         return self.memo[word]
@@ -212,7 +222,20 @@ class LabelMatcher:
         self.forms = dict(forms)
         self.kinds = sorted({k for k, _ in self.by_parts})
         self.correct = Corrector([*self.kind_of, *self.field_of])
-        self.memo: dict[str, str | None] = {}
+        self.by_form: dict[str, str] = {}
+        of_kind: dict[str, list[str]] = defaultdict(list)
+        for (kind, field), ident in sorted(self.by_parts.items()):
+            for form in [frozenset(field.split()), *sorted(forms.get(field, ()), key=sorted)]:
+                text = self._form(kind, form)
+                if text not in self.by_form:
+                    self.by_form[text] = ident
+                    of_kind[kind].append(text)
+        self.trees = {k: BKTree(fs) for k, fs in of_kind.items()}
+        self.kind_words = ShardedTree(self.kind_of)
+
+    @staticmethod
+    def _form(kind: str, words) -> str:
+        return f"{kind}: {' '.join(sorted(words))}"
 
     def _word(self, w: str) -> str | None:
         """The word of the list that ``w`` is: itself, another gender, a misspelling or a short form of a kind."""
@@ -232,18 +255,69 @@ class LabelMatcher:
             got = short[0] if len(short) == 1 else None
         return got
 
+    def _kind(self, others: list[str], sure: bool) -> tuple[str, str] | None:
+        """``(word, kind)`` of the one kind that a word abbreviates or spells with a slip.
+
+        Beside a field that is ``sure`` any short form with one slip counts, and words of up to three edits.
+        """
+        got = {}
+        for w in others:
+            if 3 <= len(w) <= 6:
+                forms = swapped(w) | ({w[:i] + w[i + 1 :] for i in range(len(w))} if sure and len(w) > 3 else set())
+                for k in self.kinds:
+                    longer = sure and any(k.startswith(w[:i] + k[i : i + 1] + w[i:]) for i in range(1, len(w)))
+                    if longer or any(len(v) > 2 and v[-1] == k[-1] and _short_form(v, k) and (sure or len(v) * 2 >= len(k)) for v in forms) or sure and any(len(v) > 2 and k.startswith(v) for v in forms):
+                        got[k] = w
+        if len(got) != 1 and sure:
+            near = [(d, self.kind_of[f], w) for w in others if len(w) >= 5 for d, f in self.kind_words.within(w, 3 if len(w) > 6 else 2) if f[0] == w[0] or d < 2]
+            least = min(near, default=(0,))[0]
+            got = {k: w for d, k, w in near if d == least}
+        return next(((w, k) for k, w in got.items()), None) if len(got) == 1 else None
+
+    def _nearest(self, kind: str, words: list[str], sure: bool) -> list[tuple[int, str]]:
+        """``(distance, entry)`` of the entries near to a form, the nearest of each; nearer ones of short words where
+        the kind is not ``sure``."""
+        form = self._form(kind, words)
+        if form in self.by_form:
+            return [(0, self.by_form[form])]
+        n = sum(map(len, words))
+        best: dict[str, int] = {}
+        for d, f in self.trees[kind].within(form, 3 if sure and n >= 10 else 2 if n >= (5 if sure else 8) else 1 if n >= 4 + (not sure) else 0):
+            best[self.by_form[f]] = min(d, best.get(self.by_form[f], d))
+        return sorted((d, i) for i, d in best.items())
+
     def __call__(self, text: str | None) -> str | None:
-        kinds, words = Counter(), defaultdict(set)
+        kinds, words, known, unknown, exact = Counter(), defaultdict(set), [], [], set()
         for t in tokens(text):
             w = self._word(t) if t not in FUNCTION else None
             if w in self.kind_of:
                 kinds[self.kind_of[w]] += 1
+                if w == t:
+                    exact.add(self.kind_of[w])
             elif w in self.field_of:
                 words[self.field_of[w]].add(w)
+                known.append((w, t))
+            elif t not in FUNCTION | RANKS:
+                unknown.append(t)
         full = [f for f, ws in words.items() if any(form <= ws for form in self.forms.get(f, ()))]
-        if len(kinds) != 1 or len(full) != 1:
+        if not kinds and len(full) < 2:
+            # words of another field than the one named may be the kind, misread
+            misread = [t for w, t in known if w != t and full and self.field_of[w] != full[0]]
+            if got := self._kind(unknown + misread, bool(full)):
+                kinds[got[1]] += 1
+                unknown = [w for w in unknown if w != got[0]]
+        # a kind as it is written counts before one that is read into another word
+        if len(exact) == 1:
+            kinds = Counter(exact)
+        if len(kinds) != 1 or len(full) > 1:
             return None
-        return self.by_parts.get((next(iter(kinds)), full[0]))
+        kind = next(iter(kinds))
+        if full:
+            return self.by_form.get(self._form(kind, full[0].split()))
+        parts = [w for w, _ in known]
+        tries = [parts + unknown, *(parts + unknown[:i] + unknown[i + 1 :] for i in range(len(unknown)))]
+        got = sorted({x for ws in tries if ws for x in self._nearest(kind, ws, bool(exact))})
+        return got[0][1] if got and (len({i for _, i in got}) == 1 or got[0][0] < min(d for d, i in got if i != got[0][1])) else None
 
 
 def _short_form(w: str, k: str) -> bool:

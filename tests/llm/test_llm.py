@@ -309,7 +309,7 @@ def test_edit_metric_and_tree(spark):
 def test_matchers():
     entries = [(f"{f}-{k}", f"{f} {k}", "\n".join([f"{dk[k]} {df[f]}"])) for f in ("bakery", "cold storage", "museum") for k in ("adviser", "engineer", "manager") for dk, df in [({"adviser": "Berater", "engineer": "Ingenieur", "manager": "Leiter"}, {"bakery": "Bäckerei", "cold storage": "Kühllager", "museum": "Museumsbetrieb"})]]
     m = canonical.LabelMatcher(entries)
-    for text, want in {"Senior Bakery Adviser (m/w/d)": "bakery-adviser", "advisr, bakrey": "bakery-adviser", "Beraterin im Bereich Kühllager - Ostkal": "cold storage-adviser", "museum mgr.": "museum-manager", "Cold Storage Eng.": "cold storage-engineer", "storage engineer": None, "lighthouse keeper": None, "museum": None, "": None, None: None}.items():
+    for text, want in {"Senior Bakery Adviser (m/w/d)": "bakery-adviser", "advisr, bakrey": "bakery-adviser", "Beraterin im Bereich Kühllager - Ostkal": "cold storage-adviser", "museum mgr.": "museum-manager", "Cold Storage Eng.": "cold storage-engineer", "storage engineer": None, "cod storage engineer - ostkal": "cold storage-engineer", "bakery mangaer": "bakery-manager", "bakery anviserr": "bakery-adviser", "museum engg": "museum-engineer", "manager museun": "museum-manager", "lighthouse manager": None, "bakery keeper": None, "lighthouse keeper": None, "museum": None, "": None, None: None}.items():
         assert m(text) == want, text
     ends = ["on a weekly basis", "for the regional office"]
     tasks = [(str(i), f"{v} {o} {ends[i % 2]}.") for i, (v, o) in enumerate((v, o) for v in ("Count", "Order", "Archive") for o in ("pump station logbooks", "seed tray labels", "storm damage folders", "parking meter cash boxes"))]
