@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.linkage import _mix
 from quarrymill.llm.spans import _packed, _unpacked
-from quarrymill.runtime import Workspace
+from quarrymill.runtime import Workspace, fold
 
 _TOKEN = re.compile(r"\S+")
 
@@ -22,23 +22,54 @@ def _codes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
     return np.fromiter((memo[t] if t in memo else memo.setdefault(t, xxhash.xxh64_intdigest(t)) for t in tokens), np.uint64, len(tokens))
 
 
-def unique_runs(df: DataFrame, host: str, id_col: str, text: str, least: int = 24, pages: int = 3, buckets: int = 64) -> DataFrame:
+#: Windows that a task holds at once, and windows a bucket holds on average.
+HELD, BUCKET_WINDOWS = 1 << 20, 1_000_000
+
+
+def _texts(h: np.ndarray, t: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows sorted by (hash, text): how many texts hold each one's hash, and whether it is the first of one of
+    the first ``most`` texts of its hash."""
+    if not len(h):
+        return np.zeros(0, int), np.zeros(0, bool)
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    other = first | np.concatenate([[True], t[1:] != t[:-1]])
+    at = np.flatnonzero(first)
+    place = np.cumsum(other) - np.repeat(np.cumsum(other)[at] - 1, np.diff(np.append(at, len(h))))
+    return np.repeat(np.add.reduceat(other.astype(np.int64), at), np.diff(np.append(at, len(h)))), other & (place <= most)
+
+
+def unique_runs(df: DataFrame, host: str, id_col: str, text: str, least: int = 24, pages: int = 3) -> DataFrame:
     """``(id, n_tokens, boilerplate_tokens, unique_text)``, one row a page.
 
     A token is boilerplate if it lies in a run of ``least`` tokens that at least ``pages`` distinct pages of the host
     hold; a suffix array of the host's pages finds the same runs, but needs the host in one place. Here each page's
     windows of ``least`` tokens are hashed with the host and grouped, so a host with a third of all pages spreads over
-    all tasks. Pages with the same text count as one. Null hosts share nothing; null and short texts are unique.
-    Ids must be unique.
+    all tasks; runs that enough pages of a slice of HELD windows hold are settled where they are read, and ``pages``
+    windows of each stand for the slice. Pages with the same text count as one. Null hosts share nothing; null and
+    short texts are unique. Ids must be unique.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "boilerplate")
     d = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("pid"), F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    # a token and the space after it are some six letters
+    buckets = max(64, int(fold(d, n=F.sum(F.length("text")))["n"] or 0) // 6 // BUCKET_WINDOWS)
+
+    def flush(held):
+        h, ids, at, t = (np.concatenate(c) for c in zip(*held))
+        o = np.lexsort((t, h))
+        h, ids, at, t = h[o], ids[o], at[o], t[o]
+        n, lead = _texts(h, t, pages)
+        out = []
+        for kind, keep in ((0, n < pages), (2, (n >= pages) & lead), (1, n >= pages)):
+            if keep.any():
+                bucket = (_mix(ids[keep].view(np.uint64)) if kind == 1 else h[keep]) % np.uint64(buckets)
+                out.append(_packed([h[keep], ids[keep], at[keep], t[keep]] if kind != 1 else [h[:0], ids[keep], at[keep], t[:0]], bucket.astype(np.int32), ("h", "id", "at", "t")).assign(kind=kind))
+        return pd.concat(out, ignore_index=True)[["bucket", "kind", "h", "id", "at", "t"]]
 
     def windows(batches):
+        held, total = [], 0
         for pdf in batches:
             memo: dict[str, int] = {}
-            hs, ids, ats, texts = [], [], [], []
             for pid, h, t in zip(pdf["pid"], pdf["host"], pdf["text"]):
                 if not t or h is None:
                     continue
@@ -49,26 +80,25 @@ def unique_runs(df: DataFrame, host: str, id_col: str, text: str, least: int = 2
                 acc = np.full(n, _mix(_codes([h], memo))[0], np.uint64)
                 for i in range(least):
                     acc = _mix(acc + c[i : i + n] + np.uint64(i + 1))
-                hs.append(acc)
-                ids.append(np.full(n, pid, np.int64))
-                ats.append(np.arange(n, dtype=np.int32))
-                texts.append(np.full(n, np.bitwise_xor.reduce(_mix(c + np.arange(len(c), dtype=np.uint64))), np.uint64))
-            if hs:
-                h = np.concatenate(hs)
-                yield _packed([h, np.concatenate(ids), np.concatenate(ats), np.concatenate(texts)], (h % np.uint64(buckets)).astype(np.int32), ("h", "id", "at", "t"))
+                held.append((acc, np.full(n, pid, np.int64), np.arange(n, dtype=np.int32), np.full(n, np.bitwise_xor.reduce(_mix(c + np.arange(len(c), dtype=np.uint64))), np.uint64)))
+                total += n
+                if total > HELD:
+                    yield flush(held)
+                    held, total = [], 0
+        if total:
+            yield flush(held)
 
     def repeated(pdf):
-        h, ids, at, t = _unpacked(pdf["h"], np.uint64), _unpacked(pdf["id"], np.int64), _unpacked(pdf["at"], np.int32), _unpacked(pdf["t"], np.uint64)
+        done = pdf[pdf["kind"] == 1]
+        rest = pdf[pdf["kind"] != 1]
+        h, ids, at, t = _unpacked(rest["h"], np.uint64), _unpacked(rest["id"], np.int64), _unpacked(rest["at"], np.int32), _unpacked(rest["t"], np.uint64)
+        told = np.repeat(rest["kind"].to_numpy() == 2, [len(x) // 8 for x in rest["id"]])
         o = np.lexsort((t, h))
-        h, ids, at, t = h[o], ids[o], at[o], t[o]
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        other = first | np.concatenate([[True], t[1:] != t[:-1]])
-        at0 = np.flatnonzero(first)
-        texts = np.add.reduceat(other.astype(np.int64), at0)
-        keep = np.repeat(texts >= pages, np.diff(np.append(at0, len(h))))
-        return pd.DataFrame({"pid": ids[keep], "at": at[keep]})
-
-    hits = d.select("pid", "host", "text").mapInPandas(windows, "bucket int, h binary, id binary, at binary, t binary").groupBy("bucket").applyInPandas(repeated, "pid long, at int")
+        n, _ = _texts(h[o], t[o], pages)
+        keep = o[(n >= pages) & ~told[o]]
+        return pd.DataFrame({"pid": np.concatenate([ids[keep], _unpacked(done["id"], np.int64)]), "at": np.concatenate([at[keep], _unpacked(done["at"], np.int32)])})
+
+    hits = d.select("pid", "host", "text").mapInPandas(windows, "bucket int, kind int, h binary, id binary, at binary, t binary").groupBy("bucket").applyInPandas(repeated, "pid long, at int")
     per = ws.cut(hits.groupBy("pid").agg(F.collect_list("at").alias("ats")), "hits")
 
     @F.pandas_udf("struct<n_tokens:int,boilerplate_tokens:int,unique_text:string>")

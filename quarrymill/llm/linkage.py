@@ -387,9 +387,12 @@ class History:
         rows_ = new.where("id is not null").select("id", "o", F.when(F.col("n") > 0, F.col("cls")).alias("cls"), F.struct(*FIELDS).alias("fa")).distinct()
         w = lambda a, b, c: F.when(F.col(f"{a}.{c}") == F.col(f"{b}.{c}"), self.weights[c][0]).when(F.col(f"{a}.{c}") != F.col(f"{b}.{c}"), self.weights[c][1]).otherwise(0.0)
         plus = lambda a, b: sum((w(a, b, c) for c in FIELDS), F.lit(0.0))
-        both = near.select(F.col("a").alias("cls"), "b", "jac").union(near.select("b", "a", "jac"))
-        # an exact repeat has similarity 1; a row counts against texts of earlier batches only
-        texts_of = both.join(by_cls.toDF("b", "first", "fb"), "b").select("cls", "first", "fb", "jac").union(by_cls.select("cls", "first", "f", F.lit(1.0)))
+        # links lead from the later class to the earlier one, so a leader with many links looks none of them up;
+        # an exact repeat has similarity 1, and a row counts against texts of earlier batches only
+        x, y = by_cls.toDF("a", "oa", "fa"), by_cls.toDF("b", "ob", "fb")
+        met = near.join(x, "a").join(y, "b").where("oa <> ob")
+        later = F.col("oa") > F.col("ob")
+        texts_of = met.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("cls"), F.least("oa", "ob").alias("first"), F.when(later, F.col("fb")).otherwise(F.col("fa")).alias("fb"), "jac").union(by_cls.select("cls", "first", "f", F.lit(1.0)))
         score = F.when(F.col("o") > F.col("first"), F.col("jac") + plus("fa", "fb"))
         mine = rows_.join(by_id.select("id", "born"), "id").join(texts_of, "cls", "left")
         out = mine.groupBy("id", "o").agg(F.max((F.col("o") > F.col("born")) | score.isNotNull()).alias("seen"), F.round(F.max(score), 6).alias("score"))

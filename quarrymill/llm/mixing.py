@@ -12,6 +12,8 @@ from quarrymill.runtime import Workspace
 
 #: Blocks of each source; block totals (sources x BLOCKS rows) are what the driver plans with.
 BLOCKS = 256
+#: Texts of a shard that one task orders; a larger shard is ordered in parts.
+PART_TEXTS = 100_000
 #: Most sources and mixes that are planned on the driver.
 MOST_SOURCES = 10_000
 
@@ -72,6 +74,20 @@ class Plan:
                 self.units.append((mix, int(np.searchsorted(ends, i, side="right")), *u))
 
 
+def _upto_quota(taken: DataFrame) -> DataFrame:
+    """Of each block that crosses its quota, the texts in random order up to it, to within half a text.
+
+    Sums of 1,024 steps of the order come first, so that a block of any size is ordered step by step, not in one task.
+    """
+    key = ["mix_id", "source", "block", "pass"]
+    d = taken.withColumn("o", F.xxhash64("id", "pass")).withColumn("step", F.shiftright("o", 54))
+    sums = d.groupBy(*key, "step").agg(F.sum("n_tokens").alias("t"))
+    before = sums.select(*key, "step", (F.sum("t").over(Window.partitionBy(*key).orderBy("step")) - F.col("t")).alias("before"))
+    w = Window.partitionBy(*key, "step").orderBy("o", "id")
+    upto = d.join(before, [*key, "step"]).where(F.col("before") <= F.col("quota")).withColumn("upto", F.col("before") + F.sum("n_tokens").over(w))
+    return upto.where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("quota")).drop("quota", "upto", "before", "step", "o")
+
+
 def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks_per_shard: int = 256, seed: int = 17, folder: str = FOLDER, ranks: str = RANKS) -> DataFrame:
     """``(mix_id, shard, position, id, source, pass, n_tokens)``: the records of each mix, in shuffled order.
 
@@ -89,21 +105,33 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
         raise ValueError(f"more than {MOST_SOURCES} sources of mixes")
     wanted = spark.createDataFrame(sorted({(r["source"],) for r in rows}), "source string") if rows else spark.createDataFrame([], "source string")
     totals: dict[str, np.ndarray] = {}
-    for r in sized.join(F.broadcast(wanted), "source").groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).toLocalIterator():
+    texts: dict[str, np.ndarray] = {}
+    for r in sized.join(F.broadcast(wanted), "source").groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).toLocalIterator():
         totals.setdefault(r["source"], np.zeros(BLOCKS))[r["block"]] = r["t"]
+        texts.setdefault(r["source"], np.zeros(BLOCKS))[r["block"]] = r["n"]
     units = []
     for m in sorted({r["mix_id"] for r in rows}):
         units += Plan(m, [(r["source"], r["w"] or 0.0, r["r"] or 0) for r in rows if r["mix_id"] == m], totals, blocks_per_shard, seed).units
     cols = ["mix_id", "shard", "source", "block", "pass", "quota"]
     schema = "mix_id string, shard int, source string, block int, pass int, quota double"
     plan = spark.createDataFrame(pd.DataFrame(units, columns=cols), schema) if units else spark.createDataFrame([], schema)
+    size_of: dict[tuple, float] = {}
+    for m, shard, source, block, *_ in units:
+        size_of[m, shard] = size_of.get((m, shard), 0) + texts[source][block]
+    parts = max([1, *(-(-int(n) // PART_TEXTS) for n in size_of.values())])
     # the plan holds mixes x sources x BLOCKS x repeats rows, whatever the corpus
     taken = sized.join(F.broadcast(plan), ["source", "block"])
     whole = taken.where("quota < 0").drop("quota")
-    w = Window.partitionBy("mix_id", "source", "block", "pass").orderBy(F.xxhash64("id", "pass"), "id")
-    part = taken.where("quota >= 0").withColumn("upto", F.sum("n_tokens").over(w)).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("quota")).drop("quota", "upto")
-    local = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64(F.lit(seed), "id", "pass", "mix_id"), "id", "pass")
-    got = whole.unionByName(part).withColumn("position", F.row_number().over(local) - 1)
+    got = whole.unionByName(_upto_quota(ws.cut(taken.where("quota >= 0"), "crossing")))
+    # a shuffle of a shard: texts go to parts at random, and are ordered at random in them
+    mixed = F.xxhash64(F.lit(seed), "id", "pass", "mix_id")
+    got = got.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "pass", "mix_id"), F.lit(parts)).cast("int"))
+    local = Window.partitionBy("mix_id", "shard", "part").orderBy(mixed, "id", "pass")
+    got = got.withColumn("position", F.row_number().over(local) - 1)
+    if parts > 1:
+        n = got.groupBy("mix_id", "shard", "part").agg(F.count("*").alias("n"))
+        before = n.select("mix_id", "shard", "part", (F.sum("n").over(Window.partitionBy("mix_id", "shard").orderBy("part")) - F.col("n")).cast("int").alias("before"))
+        got = got.join(before, ["mix_id", "shard", "part"]).withColumn("position", F.col("position") + F.col("before"))
     return got.select("mix_id", "shard", "position", F.col("id").alias(id_col), "source", "pass", "n_tokens")
 
 

@@ -367,6 +367,32 @@ def test_mixing(spark):
     assert (t.sum(0) == quota).all() and t.sum(1).max() - t.sum(1).min() <= 1
 
 
+def test_large_shards_are_ordered_in_parts(spark, monkeypatch):
+    d = docs(spark, 300)
+    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 2)], "mix_id string, source string, target_share double, max_repeats int")
+    one = mixing.mix(d, targets).toPandas()
+    monkeypatch.setattr(mixing, "PART_TEXTS", 20)
+    many = mixing.mix(d, targets).toPandas()
+    key = ["mix_id", "shard", "doc_id", "pass", "n_tokens"]
+    assert sorted(map(tuple, one[key].values)) == sorted(map(tuple, many[key].values))
+    for _, p in many.groupby(["mix_id", "shard"]):
+        assert sorted(p["position"]) == list(range(len(p)))
+    # a block that crosses its quota gives texts up to it, in whatever steps
+    got = mixing._upto_quota(spark.range(5000).selectExpr("id", "'m' as mix_id", "'s' as source", "0 as block", "0 as pass", "3 as n_tokens", "6000.0 as quota"))
+    assert got.count() == 2000
+
+
+def test_boilerplate_in_slices(spark, monkeypatch):
+    common = " ".join(f"b{i}" for i in range(30))
+    rows = [(i, "h" if i % 2 else "k", f"u{i} v{i} {common} x{i} {'again ' + common if i % 5 == 0 else ''}") for i in range(60)] + [(90, "two", f"a {common}"), (91, "two", f"b {common}"), (92, "two", f"b {common}")]
+    d = spark.createDataFrame(rows, "id int, host string, text string").repartition(2)
+    whole = sorted(tuple(r) for r in boilerplate.unique_runs(d, "host", "id", "text").collect())
+    monkeypatch.setattr(boilerplate, "HELD", 60)
+    assert sorted(tuple(r) for r in boilerplate.unique_runs(d, "host", "id", "text").collect()) == whole
+    by = {r[0]: r for r in whole}
+    assert all(by[i][2] == (61 if i % 5 == 0 else 30) for i in range(60)) and by[90][2] == by[92][2] == 0
+
+
 def test_boilerplate(spark):
     common = " ".join(f"b{i}" for i in range(30))
     rows = [(i, "h", f"u{i} v{i} {common} x{i} y{i}") for i in range(4)] + [(9, "other", f"q {common}"), (10, None, common), (11, "h", None), (12, "h", "")]
