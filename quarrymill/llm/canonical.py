@@ -95,19 +95,20 @@ class ShardedTree:
         return sorted(x for n in range(len(q) - most, len(q) + most + 1) if n in self.trees for x in self.trees[n].within(q, most))
 
 
-def match_values(values: DataFrame, value_col: str, entries: DataFrame, entry_col: str, most: int = 2, shard_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def match_values(values: DataFrame, value_col: str, entries: DataFrame, entry_col: str, most: int = 2, shard_entries: int = BROADCAST_ENTRIES, block_values: int = 100_000) -> DataFrame:
     """``(value, entry, distance, candidates)``: for each distinct value its nearest entry, or null beyond ``most``.
 
     The list is split by hash into shards of about ``shard_entries``, each a BK-tree in a task of its own that meets
-    blocks of the values; winners of the shards are merged by distance, then entry. ``candidates`` counts all
+    blocks of about ``block_values`` values; winners of the shards are merged by distance, then entry. ``candidates`` counts all
     entries within ``most``. Null values and entries drop out; an empty list leaves all values unmatched.
     """
     n = entries.where(F.col(entry_col).isNotNull()).count()
     shards = max(1, -(-n // shard_entries))
     vals = values.select(F.col(value_col).alias("value")).where("value is not null").distinct()
     refs = entries.select(F.col(entry_col).alias("entry")).where("entry is not null").distinct().withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int"))
-    spread = vals.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    placed = refs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    blocks = max(64, -(-vals.count() // block_values))
+    spread = vals.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    placed = refs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(key, left, right):
         tree = BKTree(sorted(right["entry"]))

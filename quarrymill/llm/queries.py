@@ -121,6 +121,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b)
 
 
+@query
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct job title with the nearest label within two edits, over a list in shards."""
+    labels = table(spark, sf_dir, "esco_occupations").select(F.explode(F.split(F.concat_ws("\n", "preferred_label", "alt_labels"), "\n")).alias("label")).select(F.lower(F.trim("label")).alias("label")).where("label <> ''")
+    titles = table(spark, sf_dir, "job_postings").select(F.lower(F.trim(F.coalesce("normalized_job_title", "job_title"))).alias("title"))
+    return canonical.match_values(titles, "title", labels, "label", 2, shard_entries=1000)
+
+
 @query
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
