@@ -83,6 +83,22 @@ def overlap_counts(df: DataFrame, keys: list[str], start: str, end: str) -> Data
     return got.unionByName(df.where(~F.coalesce(ok, F.lit(False))).withColumn("n_overlaps", F.lit(0).cast("long")))
 
 
+def spans_inside(df: DataFrame, keys: list[str], side: str, start: str, end: str, step: int = 256) -> DataFrame:
+    """``(keys, side, inside_side, start, end, n)``: for each distinct span the distinct spans of another side that lie
+    within it, counted.
+
+    Equal spans of a side count once, so a key with a third of all rows keeps as many spans as its text has. Spans meet
+    in steps of ``step`` places: one that lies within another begins in a step the other touches. Null and empty
+    spans take no part.
+    """
+    d = df.where(F.col(end) > F.col(start)).select(*keys, side, F.col(start).alias("_s"), F.col(end).alias("_e")).where(F.col(side).isNotNull()).distinct()
+    at = lambda c: F.floor(F.col(c) / step).cast("long")
+    outer = d.withColumn("_at", F.explode(F.sequence(at("_s"), at("_e"))))
+    inner = d.select(*keys, F.col(side).alias("inside_side"), F.col("_s").alias("_t"), F.col("_e").alias("_u"), at("_s").alias("_at"))
+    met = outer.join(inner, [*keys, "_at"]).where((F.col(side) != F.col("inside_side")) & (F.col("_t") >= F.col("_s")) & (F.col("_u") <= F.col("_e")))
+    return met.groupBy(*keys, side, "inside_side", F.col("_s").alias(start), F.col("_e").alias(end)).agg(F.count("*").alias("n"))
+
+
 def reconcile(expected: DataFrame, answered: DataFrame, key: str) -> DataFrame:
     """Ids that are missing, repeated or foreign among the answers."""
     e = expected.select(key).distinct().withColumn("_e", F.lit(True))

@@ -18,42 +18,90 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _met(queries: DataFrame, rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """Each block of queries ``(q, v, ..)`` against each chunk of rows ``(r, v, ..)``, a task of its own each.
+
+    Queries are dealt by hash into blocks of about BLOCK and rows into chunks of about CHUNK. ``kernel`` gets both
+    frames, rows in the order of ``r``, and their cosines to nine places. The work is queries x rows, so it suits a
+    stated set of queries; all rows against all are ``neighbours.nearest``.
+    """
+    nb, nc = max(1, -(-queries.count() // BLOCK)), max(1, -(-rows.count() // CHUNK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("block", part("q", nb)).withColumn("chunk", every(nc))
+    right = rows.withColumn("chunk", part("r", nc)).withColumn("block", every(nb))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        b = b.sort_values("r", ignore_index=True)
+        return kernel(a, b, np.round(_matrix(a["v"]) @ _matrix(b["v"]).T, 9))
+
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, schema)
+
+
 def top_k(queries: DataFrame, rows: DataFrame, q_id: str, r_id: str, vec: str, k: int, keep_self: bool = False) -> DataFrame:
     """``(q_id, r_id, sim, rank)``: the ``k`` most similar rows of each query, ties by row id.
 
-    Queries are dealt by hash into blocks of about BLOCK and rows into chunks of about CHUNK; each block meets each
-    chunk in a task of its own as one matrix product, which keeps the block's best ``k``, and the winners of all
-    chunks are merged by one window. Null vectors take no part. The work is queries x rows, so it suits a stated set
-    of queries, not all rows against all.
+    Each task keeps its block's best ``k``, and the winners of all chunks are merged by one window. Null vectors take
+    no part.
     """
     q = queries.where(F.col(vec).isNotNull()).select(F.col(q_id).alias("q"), F.col(vec).alias("v"))
     r = rows.where(F.col(vec).isNotNull()).select(F.col(r_id).alias("r"), F.col(vec).alias("v"))
-    nb, nc = max(1, -(-q.count() // BLOCK)), max(1, -(-r.count() // CHUNK))
     kind_q, kind_r = q.schema["q"].dataType.simpleString(), r.schema["r"].dataType.simpleString()
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("block", part("q", nb)).withColumn("chunk", every(nc))
-    right = r.withColumn("chunk", part("r", nc)).withColumn("block", every(nb))
 
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": a["q"][:0], "r": b["r"][:0], "sim": np.zeros(0)})
-        b = b.sort_values("r", ignore_index=True)
+    def best(a, b, s):
         ids, rid = a["q"].to_numpy(), b["r"].to_numpy()
-        s = np.round(_matrix(a["v"]) @ _matrix(b["v"]).T, 9)
         if not keep_self:
             s[ids[:, None] == rid[None, :]] = -9
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        qi = np.repeat(np.arange(len(ids)), best.shape[1])
-        sim = s[qi, best.ravel()]
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        qi = np.repeat(np.arange(len(ids)), top.shape[1])
+        sim = s[qi, top.ravel()]
         good = sim > -9
-        return pd.DataFrame({"q": ids[qi[good]], "r": rid[best.ravel()[good]], "sim": sim[good]})
+        return pd.DataFrame({"q": ids[qi[good]], "r": rid[top.ravel()[good]], "sim": sim[good]})
 
-    out = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(score, f"q {kind_q}, r {kind_r}, sim double")
+    out = _met(q, r, best, f"q {kind_q}, r {kind_r}, sim double")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "r")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(q_id), F.col("r").alias(r_id), F.round("sim", 6).alias("sim"), "rank")
 
 
+def label_contrast(queries: DataFrame, rows: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
+    """``(id, label, same, same_id, other)``: the best similarity of each query to another row of its label, that row
+    (ties by id), and the best to a row of another label. One row a query and chunk leaves a task. Null vectors and
+    labels take no part."""
+    pick = lambda d, name: d.where(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(F.col(id_col).alias(name), F.col(vec).alias("v"), F.col(label).alias("l"))
+    q, r = pick(queries, "q"), pick(rows, "r")
+    kind, kind_l = q.schema["q"].dataType.simpleString(), q.schema["l"].dataType.simpleString()
+
+    def best(a, b, s):
+        own = a["l"].to_numpy()[:, None] == b["l"].to_numpy()[None, :]
+        same = np.where(own & (a["q"].to_numpy()[:, None] != b["r"].to_numpy()[None, :]), s, -9.0)
+        at = same.argmax(1)
+        return pd.DataFrame({"q": a["q"], "l": a["l"], "same": same[np.arange(len(a)), at], "r": b["r"].to_numpy()[at], "other": np.where(own, -9.0, s).max(1)})
+
+    got = _met(q, r, best, f"q {kind}, l {kind_l}, same double, r {kind}, other double")
+    one = got.groupBy("q", "l").agg(F.min(F.when(F.col("same") > -9, F.struct((-F.col("same")).alias("n"), "r"))).alias("s"), F.max(F.when(F.col("other") > -9, F.col("other"))).alias("other"))
+    return one.select(F.col("q").alias(id_col), F.col("l").alias(label), (-F.col("s.n")).alias("same"), F.col("s.r").alias("same_id"), "other")
+
+
+def target_ranks(queries: DataFrame, rows: DataFrame, id_col: str, vec: str, target: str, sim: str) -> DataFrame:
+    """``(id, rank)``: the place of each query's target row among all other rows by similarity, ties by id.
+
+    ``target`` and ``sim`` name the row and its similarity; each task only counts the rows before it.
+    """
+    q = queries.where(F.col(vec).isNotNull() & F.col(target).isNotNull()).select(F.col(id_col).alias("q"), F.col(vec).alias("v"), F.col(target).alias("t"), F.col(sim).alias("ts"))
+    r = rows.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("r"), F.col(vec).alias("v"))
+    kind = q.schema["q"].dataType.simpleString()
+
+    def before(a, b, s):
+        ids, rid, t = a["q"].to_numpy()[:, None], b["r"].to_numpy()[None, :], a["ts"].to_numpy()[:, None]
+        ahead = ((s > t) | ((s == t) & (rid < a["t"].to_numpy()[:, None]))) & (rid != ids)
+        return pd.DataFrame({"q": a["q"], "n": ahead.sum(1)})
+
+    return _met(q, r, before, f"q {kind}, n long").groupBy("q").agg((F.sum("n") + 1).alias("rank")).withColumnRenamed("q", id_col)
+
+
 def margins(top: DataFrame, q_id: str) -> DataFrame:
     """Best candidate, its similarity and lead over the second of each query."""
     d = top.groupBy(q_id).agg(F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("top1"), F.max(F.when(F.col("rank") == 2, F.col("sim"))).alias("top2"))
@@ -125,13 +173,6 @@ def memberships(sims: DataFrame, id_col: str) -> DataFrame:
     return gap.crossJoin(F.broadcast(own)).crossJoin(F.broadcast(p10)).select(id_col, "label", F.col("p.centroid_label").alias("primary_label"), F.when(good, F.col("s.centroid_label")).alias("secondary_label"), "gap")
 
 
-def same_other_nearest(top_all: DataFrame, labels: DataFrame, q_id: str, r_id: str, label: str) -> DataFrame:
-    """Best similarity of each query within its label and outside it, of a table of similarities."""
-    lq, lr = labels.select(F.col(labels.columns[0]).alias(q_id), F.col(label).alias("lq")), labels.select(F.col(labels.columns[0]).alias(r_id), F.col(label).alias("lr"))
-    d = top_all.join(lq, q_id).join(lr, r_id)
-    return d.groupBy(q_id).agg(F.max(F.when(F.col("lq") == F.col("lr"), F.col("sim"))).alias("same"), F.max(F.when(F.col("lq") != F.col("lr"), F.col("sim"))).alias("other"))
-
-
 # -- two labellings -----------------------------------------------------------------------------------------------------
 
 

@@ -59,6 +59,15 @@ def disagreement_classes(spark, sf):
     return m.select("posting_id", "provider_a", "provider_b", "a", "b", "score", F.round(iou, 6).alias("span_iou"), kind.alias("kind"))
 
 
+@query(
+    """WITH d AS (SELECT DISTINCT posting_id, provider, evidence_start AS s, evidence_end AS e FROM task_statements WHERE evidence_end > evidence_start AND provider IS NOT NULL AND posting_id IS NOT NULL)
+SELECT x.posting_id, x.provider, y.provider AS inside_side, x.s AS evidence_start, x.e AS evidence_end, count(*)::BIGINT AS n FROM d x JOIN d y ON x.posting_id = y.posting_id AND x.provider <> y.provider AND y.s >= x.s AND y.e <= x.e GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2"""
+)
+def over_split_spans(spark, sf):
+    """Evidence of one producer that holds two or more pieces of evidence of another."""
+    return matching.spans_inside(_statements(spark, sf).where("posting_id is not null"), ["posting_id"], "provider", "evidence_start", "evidence_end").where("n >= 2")
+
+
 @query()
 def unmatched_best_candidates(spark, sf):
     """Statements that no other producer matches, with the best candidate they lost, and why."""

@@ -162,13 +162,17 @@ def bootstrap_validity(spark, sf):
 
 
 @query(
-    """SELECT posting_id, string_agg(task_statement_id, ';' ORDER BY task_statement_id) AS ids, count(*)::BIGINT AS n, count(DISTINCT provider)::BIGINT AS providers FROM (SELECT DISTINCT posting_id, task_statement_id, provider FROM task_statements WHERE evidence_valid) GROUP BY 1"""
+    """WITH d AS (SELECT DISTINCT posting_id, task_statement_id, provider FROM task_statements WHERE evidence_valid), n AS (SELECT posting_id, count(*)::BIGINT AS n, count(DISTINCT provider)::BIGINT AS providers FROM d GROUP BY 1)
+SELECT posting_id, CASE WHEN n <= 1000 THEN '' ELSE substr(task_statement_id, 1, length(to_hex((n - 1) // 1000))) END AS chunk, n, providers, string_agg(task_statement_id, ';' ORDER BY task_statement_id) AS ids FROM d JOIN n USING (posting_id) GROUP BY ALL"""
 )
 def ordered_concatenation(spark, sf):
-    """Every posting, whatever its size."""
+    """The ids of every posting's statements in order: one row, or for more than 1,000 ids a row for each beginning of an
+    id, so that no string grows with the posting; its chunks in order are the whole."""
     d = table(spark, sf, "task_statements").where("evidence_valid").select("posting_id", "task_statement_id", "provider").distinct()
     n = d.groupBy("posting_id").agg(F.count("*").alias("n"), F.count_distinct("provider").alias("providers"))
-    return d.join(n, "posting_id").groupBy("posting_id", "n", "providers").agg(F.array_join(F.sort_array(F.collect_list("task_statement_id")), ";").alias("ids"))
+    begin = F.substring(F.col("task_statement_id"), F.lit(1), F.length(F.hex(F.floor((F.col("n") - 1) / 1000).cast("long"))))
+    chunk = F.when(F.col("n") <= 1000, "").otherwise(begin)
+    return d.join(n, "posting_id").groupBy("posting_id", chunk.alias("chunk"), "n", "providers").agg(F.array_join(F.sort_array(F.collect_list("task_statement_id")), ";").alias("ids"))
 
 
 @query(

@@ -73,15 +73,17 @@ def neighbour_votes(spark, sf):
 @query(TOP + " SELECT q, max(CASE WHEN a.label = b.label THEN sim END) AS same, max(CASE WHEN a.label <> b.label THEN sim END) AS other FROM (SELECT q, r, round(sim, 6) AS sim FROM t) JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = r GROUP BY q")
 def nearest_same_vs_other(spark, sf):
     e = _emb(spark, sf)
-    return similarity.same_other_nearest(_top(spark, sf, e.count()), e.select("vec_id", "label"), "q", "r", "label")
+    d = similarity.label_contrast(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "label")
+    return d.select(F.col("vec_id").alias("q"), F.round("same", 6).alias("same"), F.round("other", 6).alias("other"))
 
 
 @query(TOP + ", f AS (SELECT q, min(rank) AS first FROM (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r) AS rank FROM t) k2 JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = r WHERE a.label = b.label GROUP BY q) SELECT round(avg((first <= 1)::INT), 6) AS recall_at_1, round(avg((first <= 5)::INT), 6) AS recall_at_5, round(avg((first <= 10)::INT), 6) AS recall_at_10, round(avg(1.0 / first), 6) AS mrr FROM f")
 def retrieval_recall_mrr(spark, sf):
+    """How far up the first row of the same label comes for each query."""
     e = _emb(spark, sf)
-    lab = e.select("vec_id", "label")
-    t = _top(spark, sf, e.count()).join(lab.toDF("q", "lq"), "q").join(lab.toDF("r", "lr"), "r").where("lq = lr")
-    f = t.groupBy("q").agg(F.min("rank").alias("first"))
+    q = e.where("vec_id % 50 = 0")
+    first = Workspace(spark, "retrieval").cut(similarity.label_contrast(q, e, "vec_id", "embedding", "label").select("vec_id", "same", "same_id"), "first")
+    f = similarity.target_ranks(q.join(first, "vec_id"), e, "vec_id", "embedding", "same_id", "same").withColumnRenamed("rank", "first")
     at = lambda k: F.round(F.avg((F.col("first") <= k).cast("int")), 6).alias(f"recall_at_{k}")
     return f.agg(at(1), at(5), at(10), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"))
 
