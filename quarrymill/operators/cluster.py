@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.vectors import l2
+from quarrymill.functions.vectors import l2, mean_vectors
 from quarrymill.runtime import Workspace
 
 #: Most points a kernel takes; larger tables are first reduced to weighted prototypes.
@@ -405,8 +405,8 @@ def on_points(df: DataFrame, id_col: str, vec: str, kernel, fields: str, most: i
 
     ``kernel(x, mult)`` takes unit points and how many rows each stands for, and returns a frame of ``fields`` with a row
     for each point. Rows of a table of at most ``most`` rows are the points themselves, in the order of their ids; a
-    larger table is first reduced to ``most`` prototypes by k-means over all rows, and each row gets its prototype's
-    result. Null vectors take no part; an empty table gives no rows.
+    larger table is first reduced to ``most`` prototypes over all rows (see ``prototypes``), and each row gets its
+    prototype's result. Null vectors take no part; an empty table gives no rows.
     """
     d = df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias("v"))
     kind = d.schema[id_col].dataType.simpleString()
@@ -427,9 +427,32 @@ def on_points(df: DataFrame, id_col: str, vec: str, kernel, fields: str, most: i
     return lab.join(points, "cluster").drop("cluster")
 
 
+#: Prototypes that k-means fits; more of them are the rows nearest to seeds.
+MOST_FITTED = 256
+
+
+def _to_seeds(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+    """``(id, cluster)``: each row's nearest of ``k`` seeds, the first rows in the order of their ids' hashes."""
+    order = F.xxhash64(F.lit(3), id_col)
+    x = np.array([r.v for r in df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), order.alias("o"), id_col).orderBy("o", id_col).limit(k).collect()])
+    b = df.sparkSession.sparkContext.broadcast(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+
+    def near(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), 1024):
+                m = np.stack(pdf["v"].to_numpy()[s : s + 1024])
+                yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[s : s + 1024], "cluster": (m @ b.value.T).argmax(1).astype(np.int32)})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias("v")).mapInPandas(near, f"{id_col} {kind}, cluster int")
+
+
 def prototypes(df: DataFrame, id_col: str, vec: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """``(id, cluster)`` of every row and ``(cluster, n, centroid)``: the reduction for tables beyond a kernel's size."""
-    from quarrymill.functions.vectors import mean_vectors
+    """``(id, cluster)`` of every row and ``(cluster, n, centroid)``: the reduction for tables beyond a kernel's size.
 
-    lab = kmeans(df, id_col, vec, k, seeds=(1,)).select(id_col, "cluster")
+    Up to MOST_FITTED clusters are fitted by k-means; of more, each row joins its nearest of ``k`` seed rows, and the
+    prototypes are the means of what joined.
+    """
+    lab = kmeans(df, id_col, vec, k, seeds=(1,)).select(id_col, "cluster") if k <= MOST_FITTED else _to_seeds(df, id_col, vec, k)
+    lab = Workspace(df.sparkSession, "prototypes").cut(lab, "labels")
     return lab, mean_vectors(df.join(lab, id_col), ["cluster"], vec)

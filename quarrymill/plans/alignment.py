@@ -201,7 +201,7 @@ def keyword_topics(spark, sf):
     ws = Workspace(spark, "keyword-topics")
     d = ws.cut(table(spark, sf, "documents").where("text is not null").select("doc_id", "text", hashed_vector("text", 128).alias("v")).where("v is not null"), "texts")
     fit = lambda x, mult: pd.DataFrame({"natural": cluster.hdbscan(x, 8, 4, mult=mult)[0].astype("int32")})
-    lab = ws.cut(cluster.on_points(d, "doc_id", "v", fit, "natural int"), "natural")
+    lab = ws.cut(cluster.on_points(d, "doc_id", "v", fit, "natural int", 2000), "natural")
     words = keywords.ctfidf(d.join(lab.where("natural >= 0"), "doc_id"), "natural", "text", 50, list(STOPWORDS))
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:  # 50 rows a topic

@@ -270,7 +270,7 @@ def test_exact_neighbours_in_any_cells_and_blocks(spark):
     assert neighbours.nearest(d.where("id < 3"), "id", "v", 5).count() == 6
 
 
-def test_kernels_take_larger_tables_by_prototypes(spark):
+def test_kernels_take_larger_tables_by_prototypes(spark, monkeypatch):
     """A table beyond a kernel's size gives every row its prototype's result; weights stand for rows."""
     from quarrymill.operators import cluster
 
@@ -279,7 +279,8 @@ def test_kernels_take_larger_tables_by_prototypes(spark):
     x = np.repeat(c, 60, axis=0) + 0.2 * rng.normal(size=(240, 4))
     d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
     fit = lambda p, m: pd.DataFrame({"label": cluster.hdbscan(p, 20, 3, mult=m)[0].astype("int32"), "of": m})
-    for most in (1000, 40):
+    for most, fitted in ((1000, 256), (40, 256), (40, 8)):
+        monkeypatch.setattr(cluster, "MOST_FITTED", fitted)
         got = cluster.on_points(d, "id", "v", fit, "label int, of long", most).toPandas().sort_values("id")
         assert len(got) == 240 and got["label"].nunique() == 4
         assert all(got["label"].to_numpy()[i * 60 : i * 60 + 60].min() == got["label"].to_numpy()[i * 60 : i * 60 + 60].max() for i in range(4))
