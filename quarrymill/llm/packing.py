@@ -5,38 +5,122 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.tokens import FOLDER, RANKS, encoder
 from quarrymill.runtime import Workspace, fold
 
-_WORD = re.compile(r"\w+")
+_GAP = re.compile(r"\W")
 #: Term buckets; document frequencies are a table of this fixed size, counted over all documents.
 BUCKETS = 1 << 18
 K1, B = 1.2, 0.75
 
 
+#: Characters whose words are hashed at once.
+CHUNK = 1 << 20
+#: Bytes up to which the words of a chunk are hashed together; longer words are hashed one by one.
+LONG = 64
+#: One step of CRC-32, by the low byte of the register.
+_STEP = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
+
+
+@cache
+def _word_chars() -> np.ndarray:
+    r"""Whether ``\w`` matches, by code point."""
+    out = np.strings.isalnum(np.arange(0x110000, dtype=np.uint32).view("<U1"))
+    out[ord("_")] = True
+    return out
+
+
+def _hashed(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The text's number and the CRC-32 of the UTF-8 bytes, for every word of the lowered texts."""
+    joined = "\n".join(low)  # no word goes on in the next text
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    on = np.zeros(len(chars) + 2, bool)
+    on[1:-1] = _word_chars()[chars]
+    edge = np.flatnonzero(on[1:] != on[:-1])
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), edge[::2], "right")
+    if len(raw) > len(chars):
+        edge = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[edge]
+    start, n = edge[::2], edge[1::2] - edge[::2]
+    # shortest first: the words that have a byte at a position are the last ones
+    o = np.argsort(np.minimum(n, LONG + 1).astype(np.uint8), kind="stable")
+    start, n = start[o], n[o]
+    crc = np.full(len(o), 0xFFFFFFFF, np.uint32)
+    for at, k in enumerate(np.searchsorted(n, np.arange(LONG), "right")):
+        if k == len(o):
+            break
+        c = crc[k:]
+        crc[k:] = _STEP[(c ^ raw[start[k:] + at]) & 0xFF] ^ (c >> 8)
+    crc ^= 0xFFFFFFFF
+    for j in range(np.searchsorted(n, LONG, "right"), len(o)):
+        crc[j] = zlib.crc32(raw[start[j] : start[j] + n[j]])
+    out = np.empty_like(crc)
+    out[o] = crc
+    return owner, out
+
+
+def _chunks(texts: list[str]):
+    """Slices of about CHUNK characters, of one text at least."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK or k == len(texts) - 1:
+            yield slice(begin, k + 1)
+            begin, size = k + 1, 0
+
+
+def _pieces(text: str):
+    """The text in pieces of about CHUNK characters; no word is cut."""
+    begin = 0
+    while len(text) - begin > CHUNK:
+        gap = _GAP.search(text, begin + CHUNK)
+        end = gap.start() if gap else len(text)
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    r"""The text's number and the CRC-32 of the UTF-8 bytes, for every match of ``\w+`` in the lowered texts."""
+    owner, pieces = [], []
+    for k, t in enumerate(texts):
+        for piece in _pieces(t.lower()):
+            owner.append(k)
+            pieces.append(piece)
+    owner, out = np.array(owner, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+    for part in _chunks(pieces):
+        at, crc = _hashed(pieces[part])
+        out.append((owner[part][at], crc))
+    return np.concatenate([at for at, _ in out]), np.concatenate([crc for _, crc in out])
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, folder: str = FOLDER, ranks: str = RANKS) -> DataFrame:
     """``(id, n_tokens, terms, tf)`` of every text with tokens: its size and its term counts."""
 
     def run(batches):
         enc = encoder(folder, ranks)
-        for pdf in batches:
-            out = []
-            memo: dict[str, int] = {}
-            for i, t in zip(pdf["id"], pdf["text"]):
-                ws = _WORD.findall(t.lower())
-                h = np.fromiter((memo[w] if w in memo else memo.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)) for w in ws), np.int32, len(ws))
-                terms, tf = np.unique(h, return_counts=True)
-                out.append((i, len(enc.encode_ordinary(t)), terms, np.minimum(tf, 32767).astype(np.int16)))
-            yield pd.DataFrame(out, columns=["id", "n_tokens", "terms", "tf"])
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            for part in _chunks(texts):
+                own = texts[part]
+                tokens = np.fromiter((len(enc.encode_ordinary(t)) for t in own), np.int32, len(own))
+                owner, crc = word_hashes(own)
+                key, tf = np.unique(owner * BUCKETS + (crc & (BUCKETS - 1)), return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(len(own) + 1) * BUCKETS).astype(np.int32))
+                terms, tf = (key & (BUCKETS - 1)).astype(np.int32), np.minimum(tf, 32767).astype(np.int16)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (terms, tf)]
+                yield pa.RecordBatch.from_arrays([ids[part], pa.array(tokens), *lists], ["id", "n_tokens", "terms", "tf"])
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    return d.mapInPandas(run, "id long, n_tokens int, terms array<int>, tf array<short>")
+    return d.mapInArrow(run, "id long, n_tokens int, terms array<int>, tf array<short>")
 
 
 def document_frequencies(feats: DataFrame) -> np.ndarray:

@@ -442,6 +442,49 @@ def test_shard_scores_against_brute_force():
             assert i == j or abs(s.scores(i)[j] - want) < 1e-3
 
 
+def test_packing_hashes_words_together():
+    import re
+    import sys
+    import zlib
+
+    rng = random.Random(8)
+    odd = ["a", "B", "7", "é", "Σ", "İ", "ß", "中", "𝔘", "😀", "\u0301", "٣", "½", "_", "-", " ", "\n", "\0", "\ud800"]
+    texts = ["", "!", "x" * 64, "é" * 32 + " " + "é" * 33, "z" * 70_000, "ab é," * (packing.CHUNK // 2), "ab c" * packing.CHUNK, "q" * (packing.CHUNK + 9), "ΑΣ", "Σ", *("".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(500)), ""]
+    want = [(i, zlib.crc32(w.encode("utf-8", "surrogatepass"))) for i, t in enumerate(texts) for w in re.findall(r"\w+", t.lower())]
+    assert list(zip(*(x.tolist() for x in packing.word_hashes(texts)))) == want
+    assert [len(x) for x in packing.word_hashes([])] == [0, 0]
+    assert list(packing._chunks(["ab"] * 3 + ["c" * packing.CHUNK, "", "d"])) == [slice(0, 4), slice(4, 6)]
+    assert max(map(len, packing._pieces("ab " * packing.CHUNK))) <= packing.CHUNK + 2
+    # no call for each word, nor for each distinct one
+    calls = 0
+
+    def count(frame, event, what):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    many = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(20)]
+    sys.setprofile(count)
+    try:
+        owner, _ = packing.word_hashes(many)
+    finally:
+        sys.setprofile(None)
+    assert len(owner) == 20_000 and calls < 2_000
+
+
+def test_packing_features_against_counts(spark):
+    import re
+    import zlib
+    from collections import Counter
+
+    texts = {1: "Ab ab, AB é_1 é_1", 2: "...", 3: "x " * 40_000, 4: "ΑΣ ας İ 😀 中文", 5: "", 6: None, 7: "w" * 200 + " w"}
+    got = packing.features(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(r.id for r in got) == [1, 2, 3, 4, 7]
+    for r in got:
+        want = Counter(zlib.crc32(w.encode()) & (packing.BUCKETS - 1) for w in re.findall(r"\w+", texts[r.id].lower()))
+        assert r.terms == sorted(want) and r.tf == [min(want[t], 32767) for t in r.terms]
+        assert r.n_tokens == len(encoder().encode_ordinary(texts[r.id]))
+
+
 def test_unique_runs_takes_every_version(spark, tmp_path):
     from quarrymill.llm.queries import QUERIES
 
